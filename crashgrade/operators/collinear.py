@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,30 +13,36 @@ from pyspark.sql import functions as F
 MAX_VIF = 10.0
 
 
-def varying_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    """The columns with more than one value, in the given order."""
-    row = df.agg(*[(F.min(c) < F.max(c)).alias(c) for c in cols]).first()
-    return [c for c in cols if row[c]]
+def _survey(df: DataFrame, cols: Sequence[str]) -> tuple[list[str], dict[str, float]]:
+    """The columns with more than one value, and the mean of each column."""
+    row = df.agg(
+        *[(F.min(c) < F.max(c)).alias(f"varies_{i}") for i, c in enumerate(cols)],
+        *[F.avg(F.col(c).cast("double")).alias(f"mean_{i}") for i, c in enumerate(cols)],
+    ).first()
+    varying = [c for i, c in enumerate(cols) if row[f"varies_{i}"]]
+    return varying, {c: row[f"mean_{i}"] for i, c in enumerate(cols)}
 
 
-def correlation(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """Pearson matrix from one distributed pass; p x p numbers reach the driver.
+def _correlation(df: DataFrame, cols: Sequence[str], means: dict[str, float]) -> np.ndarray:
+    """Pearson matrix from a distributed pass; p x p numbers reach the driver.
     Missing values count as the mean of their column."""
-    cols = list(cols)
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    row = doubles.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    gaps = [c for c in cols if row[c]]
-    if gaps:
-        doubles = Imputer(inputCols=gaps, outputCols=gaps).fit(doubles).transform(doubles)
-    assembled = VectorAssembler(inputCols=cols, outputCol="v").transform(doubles)
+    filled = df.select(
+        *[F.coalesce(F.col(c).cast("double"), F.lit(means[c])).alias(c) for c in cols]
+    )
+    assembled = VectorAssembler(inputCols=list(cols), outputCol="v").transform(filled)
     return Correlation.corr(assembled.select("v"), "v").first()[0].toArray()
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row per ordered pair of columns: feature_a, feature_b, correlation."""
-    matrix = correlation(df, cols)
+    """One row per ordered pair of columns: feature_a, feature_b, correlation,
+    which is null where a column has a single value."""
+    varying, means = _survey(df, cols)
+    found = _correlation(df, varying, means)
+    at = {c: i for i, c in enumerate(varying)}
     rows = [
-        (a, b, float(matrix[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)
+        (a, b, float(found[at[a], at[b]]) if a in at and b in at else None)
+        for a in cols
+        for b in cols
     ]
     return df.sparkSession.createDataFrame(
         rows, "feature_a string, feature_b string, correlation double"
@@ -57,8 +63,8 @@ def _inflation(matrix: np.ndarray) -> np.ndarray:
 
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Variance inflation of each column that varies: feature, vif."""
-    cols = varying_columns(df, cols)
-    found = _inflation(correlation(df, cols))
+    cols, means = _survey(df, cols)
+    found = _inflation(_correlation(df, cols, means)) if cols else []
     return df.sparkSession.createDataFrame(
         [(c, float(v)) for c, v in zip(cols, found)], "feature string, vif double"
     )
@@ -72,9 +78,9 @@ def vif_stepwise(df: DataFrame, cols: Sequence[str], max_vif: float = MAX_VIF) -
     first, at step 0. The data are read once; the steps only shrink the matrix.
     """
     spark: SparkSession = df.sparkSession
-    left = varying_columns(df, cols)
+    left, means = _survey(df, cols)
     rows = [(c, 0, None, False) for c in cols if c not in left]
-    matrix = correlation(df, left)
+    matrix = _correlation(df, left, means) if left else None
     step = 0
     while left:
         found = _inflation(matrix)

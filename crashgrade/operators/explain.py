@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from crashgrade.functions.arithmetic import ratio
 from crashgrade.functions.hashing import salted_hash
 from crashgrade.operators.metrics import roc_auc
+from crashgrade.session import shared_folder
 
 ROWS_PER_BUCKET = 200_000
 BASELINE = "(none)"
@@ -43,9 +44,10 @@ def shuffle_columns(
 ) -> DataFrame:
     """Adds `<col>_other`: the value of another row, as a permutation.
 
-    Rows fall into hash buckets of a unique key, and within a bucket each row
-    takes the values of the next one in hash order; the last takes the first.
-    All columns move together in one sort.
+    Rows fall into hash buckets of `key`, and within a bucket each row takes
+    the values of the next one in hash order; the last takes the first. All
+    columns move together in one sort. `key` is unique, which keeps the buckets
+    even; for a table with copies of rows, `table_with_row_id` makes one.
     """
     place = salted_hash(salt, F.col(key))
     rows = df.withColumn("perm_bucket", place % buckets).withColumn("perm_place", place)
@@ -69,8 +71,10 @@ def permutation_importance(
     """AUC lost when one column is shuffled: feature, auc, auc_loss.
 
     `score` adds the column `p`. Every row is scored once as it is (feature
-    "(none)") and once per column, in a single plan.
+    "(none)") and once per column, in a single plan, whose scores are kept in
+    the checkpoint folder, as the AUC reads them twice.
     """
+    shared_folder(df.sparkSession)
     if buckets is None:
         buckets = max(1, -(-df.count() // ROWS_PER_BUCKET))
     variants = F.explode(F.array(*[F.lit(c) for c in [BASELINE, *cols]]))
@@ -78,7 +82,7 @@ def permutation_importance(
     swapped = shuffled.withColumns(
         {c: F.when(F.col("feature") == c, F.col(f"{c}_other")).otherwise(F.col(c)) for c in cols}
     ).drop(*[f"{c}_other" for c in cols])
-    scored = score(swapped).select("feature", F.col(target).alias("severe"), "p")
+    scored = score(swapped).select("feature", F.col(target).alias("severe"), "p").checkpoint()
     aucs = roc_auc(scored, ["feature"])
     # One row per column reaches this window.
     base = F.max(F.when(F.col("feature") == BASELINE, F.col("auc"))).over(Window.partitionBy())

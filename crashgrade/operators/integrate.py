@@ -90,6 +90,53 @@ def surroundings(
     )
 
 
+def cell_statistics(
+    features: DataFrame,
+    resolutions: Sequence[int],
+    bridge_type: str,
+    urban_min: int = URBAN_MIN_SERVICES,
+) -> DataFrame:
+    """Everything known of the cells of all resolutions, from one scan of the
+    features: one row per (res, cell) with the columns of `infra_by_cell`,
+    `surroundings` and `dominant_type`."""
+    cells = F.explode(
+        F.array(
+            *[F.struct(F.lit(r).alias("res"), F.col(f"cell_{r}").alias("cell")) for r in resolutions]
+        )
+    )
+    kind, bridge = F.col("kind"), F.col("road_type") == bridge_type
+    kinds = {
+        "n_curves": "curve", "n_signals": "signal", "n_tunnels": "tunnel",
+        "n_hospitals": "hospital", "n_schools": "school", "n_fuel": "fuel",
+    }
+    per_type = (
+        features.select("road_type", "kind", "length_km", "speed", cells.alias("at"))
+        .groupBy("at.res", "at.cell", "road_type")
+        .agg(
+            F.count("*").alias("n_segments"),
+            F.sum("length_km").alias("road_len"),
+            F.sum(F.when(bridge, F.col("length_km")).otherwise(0.0)).alias("bridge_len"),
+            F.count_if(bridge).alias("n_bridges"),
+            F.sum("speed").alias("speed_sum"),
+            *[F.count_if(kind == k).alias(n) for n, k in kinds.items()],
+        )
+    )
+    sums = ["n_segments", "road_len", "bridge_len", "n_bridges", "speed_sum", *kinds]
+    longest = F.min(F.struct((-F.col("road_len")).alias("neg_km"), F.col("road_type")))
+    totals = per_type.groupBy("res", "cell").agg(
+        *[F.sum(c).alias(c) for c in sums], longest.alias("top")
+    )
+    services = F.col("n_hospitals") + F.col("n_schools") + F.col("n_fuel")
+    return totals.select(
+        "res",
+        "cell",
+        *[c for c in sums if c != "speed_sum"],
+        (F.col("speed_sum").cast("double") / F.col("n_segments")).alias("mean_speed"),
+        (services >= urban_min).cast("int").alias("urban"),
+        F.col("top.road_type").alias("dominant"),
+    )
+
+
 def _zero_if_absent(df: DataFrame, name: str) -> Column:
     empty = "" if dict(df.dtypes)[name] == "string" else 0
     return F.coalesce(F.col(name), F.lit(empty)).alias(name)
@@ -102,6 +149,7 @@ def attach_infra(
     prefix: str,
     key: str = "accident_id",
     limit: int | None = None,
+    key_source: DataFrame | None = None,
 ) -> DataFrame:
     """Adds the statistics of each accident's cell as `<prefix><name>`.
 
@@ -110,7 +158,9 @@ def attach_infra(
     named = cells.select(
         cell, *[F.col(c).alias(f"{prefix}{c}") for c in cells.columns if c != cell]
     )
-    joined = join_dimension(df, named, [cell], [key], how="left", limit=limit)
+    joined = join_dimension(
+        df, named, [cell], [key], how="left", limit=limit, key_source=key_source
+    )
     added = [c for c in named.columns if c != cell]
     return joined.select(*df.columns, *[_zero_if_absent(joined, c) for c in added])
 

@@ -48,6 +48,7 @@ def join_dimension(
     how: str = "inner",
     limit: int | None = None,
     salts: int | None = None,
+    key_source: DataFrame | None = None,
 ) -> DataFrame:
     """Join `fact` to `dim`, which has one row per key, whatever the key skew.
 
@@ -57,6 +58,10 @@ def join_dimension(
     `salts` values by the hash of `spread_by` (a unique column, for an even
     spread), and the few dimension rows of hot keys are repeated once per
     salt. Other keys keep salt 0 and are not repeated. No row is dropped.
+
+    Hot keys are looked for in `key_source`, or else in `fact`. Name a stored
+    table with the same keys where `fact` is itself the result of joins, so
+    that these do not run twice.
     """
     keys = list(keys)
     limit = broadcast_limit(fact) if limit is None else limit
@@ -64,7 +69,8 @@ def join_dimension(
         return fact.join(dim, keys, how)
 
     salts = salts or int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(fact, keys).withColumn("is_hot", F.lit(True)))
+    source = fact if key_source is None else key_source
+    hot = F.broadcast(hot_keys(source, keys).withColumn("is_hot", F.lit(True)))
     salted_fact = (
         fact.withColumn("key_hash", F.xxhash64(*keys))
         .join(hot, "key_hash", "left")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crashgrade.functions.arithmetic import ratio
-from crashgrade.operators.ranks import running_totals
-from crashgrade.operators.threshold import apply_threshold, f1_of
+from crashgrade.operators.ranks import cut_points, running_totals
+from crashgrade.operators.threshold import cut_of, f1_of
 
 CHANCE_FACTOR = 1.25
 
@@ -59,14 +59,17 @@ def matthews(conf: DataFrame) -> DataFrame:
     return conf.withColumn("matthews", F.coalesce(ratio(tp * tn - fp * fn, margins), F.lit(0.0)))
 
 
-def roc_auc(scored: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Share of (severe, not severe) pairs that the score puts in order; ties
-    count half. Exact: rows are counted per distinct score, then ranked with
-    `running_totals`. Null if a class has no rows."""
-    per_score = scored.groupBy(*by, "p").agg(
-        F.sum("severe").alias("pos"), F.sum(1 - F.col("severe")).alias("neg")
+def score_counts(scored: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """Severe and other rows per distinct score."""
+    return (
+        scored.where(F.col("p").isNotNull())
+        .groupBy(*by, "p")
+        .agg(F.sum("severe").alias("pos"), F.sum(1 - F.col("severe")).alias("neg"))
     )
-    ranked = running_totals(per_score, "p", ["pos", "neg"], by)
+
+
+def _auc(counts: DataFrame, by: Sequence[str], cuts: Sequence[float]) -> DataFrame:
+    ranked = running_totals(counts, "p", ["pos", "neg"], by, cuts)
 
     def wide(c):
         # Products of two row counts can pass 64 bits.
@@ -77,6 +80,13 @@ def roc_auc(scored: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     return ranked.groupBy(*by).agg(ratio(wins_twice, pairs_twice).alias("auc"))
 
 
+def roc_auc(scored: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """Share of (severe, not severe) pairs that the score puts in order; ties
+    count half. Exact: rows are counted per distinct score, then ranked with
+    `running_totals`. Null if a class has no rows."""
+    return _auc(score_counts(scored, by), by, cut_points(scored, ["p"]))
+
+
 def _rates(scored: DataFrame, bins: int) -> DataFrame:
     """Cumulated counts from the highest bin down; at most bins + 1 rows per model."""
     slots = scored.groupBy("model", F.floor(F.col("p") * bins).cast("bigint").alias("bin")).agg(
@@ -140,15 +150,30 @@ def proportional_chance(
 
 
 def compare_models(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """One row per model: its cut and all headline metrics, ranked by AUC."""
-    conf = confusion(apply_threshold(scored, thresholds))
-    table = prf_severe(balanced_accuracy(accuracy(conf)))
+    """One row per model: its cut and all headline metrics, ranked by AUC.
+
+    Confusion and AUC both come from the counts per score, one shuffle.
+    """
+    counts = score_counts(scored)
+    cut = cut_of(thresholds)
+    flagged = F.col("p") >= cut
+
+    def total(count: str, where: Column) -> Column:
+        return F.sum(F.when(where, F.col(count)).otherwise(0))
+
+    conf = counts.groupBy("model").agg(
+        total("pos", flagged).alias("tp"),
+        total("neg", flagged).alias("fp"),
+        total("neg", ~flagged).alias("tn"),
+        total("pos", ~flagged).alias("fn"),
+    )
+    auc = _auc(counts, ["model"], cut_points(scored, ["p"]))
     return (
-        table.join(thresholds.select("model", "threshold"), "model")
-        .join(roc_auc(scored), "model")
+        prf_severe(balanced_accuracy(accuracy(conf)))
+        .join(auc, "model")
         .select(
             "model",
-            "threshold",
+            cut.alias("threshold"),
             "accuracy",
             "balanced_accuracy",
             "f1",

@@ -8,33 +8,45 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crashgrade.operators.reshape import to_rows
+
 SLOTS_PER_PARTITION = 4
 
 
-def cut_points(df: DataFrame, order_col: str) -> list[float]:
-    """Values that split the rows into slots of about equal size.
+def cut_points(df: DataFrame, cols: Sequence[str]) -> list[float]:
+    """Values that split the rows of each column into slots of about equal size.
 
-    The slots only balance the work: any cut points give the same totals.
+    One pass without a shuffle, over bounded sketches. The slots only balance
+    the work: any cut points lead to the same totals.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = SLOTS_PER_PARTITION * partitions
     shares = [i / slots for i in range(1, slots)]
-    return sorted(set(df.approxQuantile(order_col, shares, 1.0 / (2 * slots))))
+    found = df.approxQuantile(list(cols), shares, 1.0 / (2 * slots))
+    return sorted({value for column in found for value in column})
 
 
 def running_totals(
-    df: DataFrame, order_col: str, sums: Sequence[str], by: Sequence[str] = ()
+    df: DataFrame,
+    order_col: str,
+    sums: Sequence[str],
+    by: Sequence[str] = (),
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """For each row the sum over all rows before it, as `<name>_before`, and
-    over its whole group, as `<name>_total`.
+    over its whole group, as `<name>_total`. Rows without a value are left out.
 
     `df` has one row per (by, order_col), so no single value can be heavy.
     Slots are summed first, the few slot totals get a running sum, and only
-    the rows of one slot are ever sorted together.
+    the rows of one slot are ever sorted together. `cuts` come from
+    `cut_points` over the data behind `df`, or else over `df` itself.
     """
     by = list(by)
-    splits = [-float("inf"), *cut_points(df, order_col), float("inf")]
-    slotted = Bucketizer(splits=splits, inputCol=order_col, outputCol="slot").transform(df)
+    cuts = cut_points(df, [order_col]) if cuts is None else cuts
+    splits = [-float("inf"), *cuts, float("inf")]
+    # The same filter on both uses of `df` lets Spark shuffle it once.
+    known = df.where(F.col(order_col).isNotNull())
+    slotted = Bucketizer(splits=splits, inputCol=order_col, outputCol="slot").transform(known)
 
     earlier = Window.partitionBy(*by).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -81,12 +93,12 @@ def exact_quantiles(
     by = list(by)
     values = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
     counts = (
-        values.unpivot(by, list(cols), "feature", "value")
+        to_rows(values, by, cols, "feature", "value")
         .where(F.col("value").isNotNull())
         .groupBy(*by, "feature", "value")
         .agg(F.count("*").alias("n"))
     )
-    ranked = running_totals(counts, "value", ["n"], [*by, "feature"])
+    ranked = running_totals(counts, "value", ["n"], [*by, "feature"], cut_points(values, cols))
     picks = []
     for name, prob in probs.items():
         position = (F.col("n_total") - 1) * F.lit(float(prob))

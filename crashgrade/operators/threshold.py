@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crashgrade.functions.arithmetic import ratio
+from crashgrade.operators.reshape import to_rows
 
 STEPS = 100
 
 
 def score_rows(scored: DataFrame, models: Sequence[str], keep: Sequence[str] = ("severe",)) -> DataFrame:
     """Wide scores, one column per model, to one row per model."""
-    return scored.unpivot(list(keep), list(models), "model", "p")
+    return to_rows(scored, keep, models, "model", "p")
 
 
 def cut_index(p: Column, steps: int = STEPS) -> Column:
@@ -37,17 +38,22 @@ def threshold_sweep(scored: DataFrame, steps: int = STEPS) -> DataFrame:
     slots = scored.groupBy("model", cut_index(F.col("p"), steps).alias("i")).agg(
         F.sum("severe").alias("pos"), F.count("*").alias("n")
     )
-    # From here on there are at most steps + 1 rows per model.
-    grid = slots.groupBy("model").agg(F.sum("pos").alias("all_pos")).withColumn(
-        "i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(steps).cast("bigint")))
+    # At most steps + 1 slots per model: small enough to meet in one map.
+    held = F.map_from_entries(F.collect_list(F.struct("i", F.struct("pos", "n"))))
+    every_cut = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(steps).cast("bigint")))
+    grid = (
+        slots.groupBy("model")
+        .agg(F.sum("pos").alias("all_pos"), held.alias("held"))
+        .select("model", "all_pos", "held", every_cut.alias("i"))
+        .withColumn("slot", F.try_element_at("held", F.col("i")))
     )
     from_top = Window.partitionBy("model").orderBy(F.desc("i"))
-    flagged = grid.join(slots, ["model", "i"], "left").select(
+    flagged = grid.select(
         "model",
         (F.col("i").cast("double") / steps).alias("threshold"),
         "all_pos",
-        F.sum(F.coalesce("pos", F.lit(0))).over(from_top).alias("tp"),
-        F.sum(F.coalesce("n", F.lit(0))).over(from_top).alias("flagged"),
+        F.sum(F.coalesce("slot.pos", F.lit(0))).over(from_top).alias("tp"),
+        F.sum(F.coalesce("slot.n", F.lit(0))).over(from_top).alias("flagged"),
     )
     counts = flagged.withColumn("fp", F.col("flagged") - F.col("tp")).withColumn(
         "fn", F.col("all_pos") - F.col("tp")
@@ -65,10 +71,14 @@ def threshold_sweep(scored: DataFrame, steps: int = STEPS) -> DataFrame:
     )
 
 
+def _best() -> Column:
+    """Highest F1 first, then the lower cut."""
+    return F.max(F.struct("f1", (-F.col("threshold")).alias("low_first")))
+
+
 def best_threshold(sweep: DataFrame) -> DataFrame:
     """Cut with the highest F1 per model; ties go to the lower cut."""
-    best = F.max(F.struct("f1", (-F.col("threshold")).alias("low_first")))
-    return sweep.groupBy("model").agg(best.alias("best")).select(
+    return sweep.groupBy("model").agg(_best().alias("best")).select(
         "model", (-F.col("best.low_first")).alias("threshold"), F.col("best.f1").alias("f1")
     )
 
@@ -78,33 +88,36 @@ def tune_all(scored: DataFrame, models: Sequence[str], steps: int = STEPS) -> Da
     return best_threshold(threshold_sweep(score_rows(scored, models), steps))
 
 
+def cut_of(thresholds: DataFrame) -> Column:
+    """Each model's own cut. There is one row per model, so the cuts become a
+    constant map of the plan."""
+    pairs: list[Column] = []
+    for row in thresholds.collect():
+        pairs += [F.lit(row["model"]), F.lit(row["threshold"])]
+    return F.create_map(*pairs)[F.col("model")]
+
+
 def apply_threshold(scored: DataFrame, thresholds: DataFrame | float) -> DataFrame:
-    """Adds `predicted`, from one cut or from each model's own (one small row
-    per model, which become a constant map of the plan)."""
-    if isinstance(thresholds, DataFrame):
-        cuts: list[Column] = []
-        for row in thresholds.collect():
-            cuts += [F.lit(row["model"]), F.lit(row["threshold"])]
-        cut = F.create_map(*cuts)[F.col("model")]
-    else:
-        cut = F.lit(float(thresholds))
+    """Adds `predicted`, from one cut or from each model's own."""
+    is_table = isinstance(thresholds, DataFrame)
+    cut = cut_of(thresholds) if is_table else F.lit(float(thresholds))
     return scored.withColumn("predicted", (F.col("p") >= cut).cast("int"))
 
 
 def threshold_gain(scored: DataFrame, steps: int = STEPS) -> DataFrame:
     """F1 at 0.5, at the best cut, and the gain in percentage points."""
-    best = best_threshold(threshold_sweep(scored, steps))
-    hit, truth = F.col("p") >= 0.5, F.col("severe") == 1
-    half = scored.groupBy("model").agg(
-        F.count_if(hit & truth).alias("tp"),
-        F.count_if(hit & ~truth).alias("fp"),
-        F.count_if(~hit & truth).alias("fn"),
-    )
-    at_half = half.select("model", f1_of(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1_at_half"))
-    return best.join(at_half, "model").select(
-        "model",
-        "threshold",
-        "f1_at_half",
-        F.col("f1").alias("f1_at_best"),
-        ((F.col("f1") - F.col("f1_at_half")) * 100.0).alias("gain_points"),
+    if steps % 2:
+        raise ValueError("0.5 must be one of the cuts")
+    at_half = F.max(F.when(F.col("threshold") == 0.5, F.col("f1")))
+    return (
+        threshold_sweep(scored, steps)
+        .groupBy("model")
+        .agg(_best().alias("best"), at_half.alias("f1_at_half"))
+        .select(
+            "model",
+            (-F.col("best.low_first")).alias("threshold"),
+            "f1_at_half",
+            F.col("best.f1").alias("f1_at_best"),
+            ((F.col("best.f1") - F.col("f1_at_half")) * 100.0).alias("gain_points"),
+        )
     )

@@ -49,7 +49,7 @@ CELLS = ", ".join(f"{cell(r)} AS cell_{r}" for r in (9, 10, 11))
 TABLES = f"""
 WITH road_features AS (
   SELECT o_custkey AS zone_id, l_orderkey AS feature_id, p_type AS road_type,
-         l_quantity AS length_km, p_size AS speed,
+         l_quantity AS length_km, cast(p_size AS bigint) AS speed,
          CASE WHEN p_size > 40 THEN 'curve' WHEN p_size < 5 THEN 'signal'
               WHEN p_size = 10 THEN 'hospital' WHEN p_size IN (11, 12) THEN 'school'
               WHEN p_size IN (13, 14) THEN 'fuel' WHEN p_size = 20 THEN 'tunnel'
@@ -416,6 +416,15 @@ def oracles() -> dict[str, str]:
     ) + " FROM roads GROUP BY cell_10"
     q["dominant_type"] = DOMINANT
     q["surroundings"] = SURROUNDINGS
+    q["cell_statistics"] = " UNION ALL ".join(
+        f"""SELECT i.* EXCLUDE (cell_{r}), cell_{r} AS cell,
+        cast({r} AS bigint) AS res, n_hospitals, n_schools, n_fuel,
+        cast(n_hospitals + n_schools + n_fuel >= 5 AS bigint) AS urban, dominant
+        FROM ({BY_CELL.format(res=r)}) i
+        JOIN ({SURROUNDINGS.replace('cell_9', f'cell_{r}')}) s USING (cell_{r})
+        JOIN ({DOMINANT.replace('cell_10', f'cell_{r}')}) d USING (cell_{r})"""
+        for r in (9, 10, 11)
+    )
     q["attach_infra"] = "SELECT accident_id, " + ", ".join(
         f"coalesce(c{r}.n_segments, 0) AS hex{r}_n_segments, "
         f"coalesce(c{r}.road_len, 0e0) AS hex{r}_road_len, "

@@ -178,18 +178,20 @@ def model_roundtrip(ws):
     path = ws.path("model_store")
     stack.save_all(ws.spark, ws.preparation, ws.models(), ws.stack, path)
     preparation, models, stacked = stack.load_all(ws.spark, path)
-    rows = ws.base().where(F.col("part") == "test")
-    again = stack.score(
-        rows, preparation, models, stacked, ws.thresholds(), ws.feature_names, [KEY]
+    keep = [KEY, "part"]
+    first = prepare.prepare(ws.preparation, ws.base(), ws.feature_names, keep)
+    first = stack.stack_scores(ws.stack, classifiers.base_scores(ws.models(), first))
+    again = prepare.prepare(preparation, ws.base(), ws.feature_names, keep)
+    again = stack.stack_scores(stacked, classifiers.base_scores(models, again))
+    names = list(stack.ALL_MODELS)
+    both = first.select(KEY, *[F.col(n).alias(f"first_{n}") for n in names]).join(
+        again.select(KEY, *names), KEY
     )
-    first = ws.scores().where(F.col("part") == "test")
-    names = stack.ALL_MODELS
-    both = threshold.score_rows(first, names, [KEY]).withColumnRenamed("p", "p_first").join(
-        threshold.score_rows(again, names, [KEY]), [KEY, "model"]
-    )
-    return both.groupBy("model").agg(
-        F.count("*").alias("n_rows"), F.max(F.abs(F.col("p") - F.col("p_first"))).alias("max_gap")
+    gaps = both.agg(
+        *[F.max(F.abs(F.col(n) - F.col(f"first_{n}"))).alias(n) for n in names],
+        F.count("*").alias("n_rows"),
     )
+    return gaps.unpivot(["n_rows"], names, "model", "max_gap")
 
 
 # Integration
@@ -215,8 +217,7 @@ def hex_cell(ws):
 
 @query
 def infra_by_cell(ws):
-    cells = integrate.infra_by_cell(ws.with_cells(ws.road()), "cell_10", derived.BRIDGE_TYPE)
-    return cells
+    return integrate.infra_by_cell(ws.with_cells(ws.road()), "cell_10", derived.BRIDGE_TYPE)
 
 
 @query
@@ -234,12 +235,20 @@ def surroundings(ws):
     return integrate.surroundings(ws.with_cells(ws.road()), "cell_9")
 
 
+@query
+def cell_statistics(ws):
+    """All statistics of the cells of all resolutions, from one scan."""
+    return integrate.cell_statistics(
+        ws.with_cells(ws.road()), RESOLUTIONS, derived.BRIDGE_TYPE
+    )
+
+
 @query
 def attach_infra(ws):
     """Statistics of each accident's cell, at all three resolutions."""
     df = ws.with_cells(ws.accidents()).select(KEY, *[f"cell_{r}" for r in RESOLUTIONS])
     for res in RESOLUTIONS:
-        cells = ws.cell_infra(res).select(f"cell_{res}", "n_segments", "road_len", "mean_speed")
+        cells = ws.cell_statistics(res, "n_segments", "road_len", "mean_speed")
         df = integrate.attach_infra(df, cells, f"cell_{res}", f"hex{res}_")
     return df.drop(*[f"cell_{r}" for r in RESOLUTIONS])
 
@@ -546,9 +555,7 @@ def risk_hotspots(ws):
 @query
 def risk_hotspots_stack(ws):
     """Cells and hours with the highest mean stacked probability."""
-    place = ws.base().select(KEY, "cell_9", "hour")
-    scored = ws.scores().select(KEY, stack.STACK).join(place, KEY)
-    return hypotheses.risk_hotspots(scored, F.col(stack.STACK), ["cell_9", "hour"], 25)
+    return hypotheses.risk_hotspots(ws.scores(), F.col(stack.STACK), ["cell_9", "hour"], 25)
 
 
 # Thresholds

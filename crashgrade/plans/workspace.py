@@ -16,6 +16,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crashgrade.functions.hexgrid import RESOLUTIONS
 from crashgrade.models import classifiers, discriminant, prepare
 from crashgrade.models.discriminant import Discriminant
 from crashgrade.models.stack import ALL_MODELS, BASE_MODELS, fit_stack, stack_scores
@@ -100,28 +101,15 @@ class Workspace:
     def with_cells(self, df: DataFrame) -> DataFrame:
         return integrate.with_cells(df, derived.BASE_EDGE_M, derived.STANDARD_LAT)
 
-    def cell_infra(self, res: int) -> DataFrame:
-        cell = f"cell_{res}"
-        return self.table(
-            f"infra_{res}",
-            lambda: integrate.infra_by_cell(
-                self.with_cells(self.road()), cell, derived.BRIDGE_TYPE
+    def cell_statistics(self, res: int, *names: str) -> DataFrame:
+        """Statistics `names` of the cells of one resolution."""
+        cells = self.table(
+            "cells",
+            lambda: integrate.cell_statistics(
+                self.with_cells(self.road()), RESOLUTIONS, derived.BRIDGE_TYPE
             ),
         )
-
-    def cell_dominant(self, res: int) -> DataFrame:
-        cell = f"cell_{res}"
-        return self.table(
-            f"dominant_{res}",
-            lambda: integrate.dominant_type(self.with_cells(self.road()), cell),
-        )
-
-    def cell_surroundings(self, res: int) -> DataFrame:
-        cell = f"cell_{res}"
-        return self.table(
-            f"surroundings_{res}",
-            lambda: integrate.surroundings(self.with_cells(self.road()), cell),
-        )
+        return cells.where(F.col("res") == res).select(F.col("cell").alias(f"cell_{res}"), *names)
 
     # Base for the models
 
@@ -129,34 +117,33 @@ class Workspace:
         """Accidents with weather, cell statistics and all candidate features."""
 
         def build() -> DataFrame:
-            df = self.with_cells(self.accidents())
-            df = integrate.attach_weather(df, self.weather())
+            places = self.with_cells(self.accidents())
+            df = integrate.attach_weather(places, self.weather())
             for res, names in (
-                (9, ["road_len", "n_curves"]), (10, ["road_len", "bridge_len"]), (11, ["road_len"])
+                (9, ["road_len", "n_curves", "urban"]),
+                (10, ["road_len", "bridge_len", "dominant"]),
+                (11, ["road_len"]),
             ):
-                cells = self.cell_infra(res).select(f"cell_{res}", *names)
-                df = integrate.attach_infra(df, cells, f"cell_{res}", f"hex{res}_")
-            df = integrate.attach_infra(
-                df, self.cell_dominant(10).select("cell_10", "dominant"), "cell_10", ""
-            )
-            df = integrate.attach_infra(
-                df, self.cell_surroundings(9).select("cell_9", "urban"), "cell_9", ""
-            )
+                df = integrate.attach_infra(
+                    df, self.cell_statistics(res, *names), f"cell_{res}", f"hex{res}_",
+                    key_source=places,
+                )
             df = features.interaction_features(features.temporal_features(df))
             df = features.one_hot(df, "road_type", derived.ACCIDENT_ROADS, "road_")
-            df = features.one_hot(df, "dominant", derived.ROAD_TYPES, "dominant_")
-            return split.split3(df, KEY)
+            df = features.one_hot(df, "hex10_dominant", derived.ROAD_TYPES, "dominant_")
+            return split.split3(df.withColumnRenamed("hex9_urban", "urban"), KEY)
 
         return self.table("joined", build)
 
-    def base(self) -> DataFrame:
-        """The clean base: outliers removed."""
-
-        def build() -> DataFrame:
-            bounds = clean.outlier_bounds(self.joined(), OUTLIER_COLUMNS)
-            return clean.remove_outliers(self.joined(), bounds)
+    @cached_property
+    def bounds(self) -> DataFrame:
+        found = clean.outlier_bounds(self.joined(), OUTLIER_COLUMNS)
+        return self.spark.createDataFrame(found.collect(), found.schema)
 
-        return self.table("base", build)
+    def base(self) -> DataFrame:
+        """The clean base. The fences are constants that filter the scan of the
+        joined table, so it is not written a second time."""
+        return clean.remove_outliers(self.joined(), self.bounds)
 
     def train_rows(self) -> DataFrame:
         return self.base().where(F.col("part") == "train")
@@ -192,13 +179,15 @@ class Workspace:
         return self.table(
             "vectors",
             lambda: prepare.prepare(
-                self.preparation, self.base(), self.feature_names, [KEY, "part", "severe"]
+                self.preparation, self.base(), self.feature_names,
+                [KEY, "part", "severe", "cell_9", "hour"],
             ),
         )
 
     @cached_property
     def train(self) -> DataFrame:
-        return self.vectors().where(F.col("part") == "train").drop("part").persist()
+        rows = self.vectors().where(F.col("part") == "train")
+        return rows.select(KEY, "severe", "features").persist()
 
     @cached_property
     def early_stop(self) -> tuple[PipelineModel, list[tuple[int, int, float]]]:
