@@ -98,11 +98,12 @@ def log_loss(model: PipelineModel, rows: DataFrame, weight: float) -> float:
 
 def fit_mlp_early_stop(
     train: DataFrame, n_features: int, key: str, hidden: Sequence[int] = (16, 8), step: int = 10,
-    patience: int = 2, max_rounds: int = 20, valid_thousandths: int = 100, balanced: bool = True,
+    patience: int = 2, max_rounds: int = 20, tolerance: float = 1e-4,
+    valid_thousandths: int = 100, balanced: bool = True,
 ) -> tuple[PipelineModel, list[tuple[int, int, float]]]:
     """Trains in rounds of `step` iterations, each going on from the last
-    weights, until a hash slice of the training rows has not been predicted
-    better for `patience` rounds. Returns the best network and, per round, its
+    weights, until the loss on a hash slice of the training rows has not fallen
+    by `tolerance` for `patience` rounds. Returns the best network and, per round, its
     number, the iterations so far and the validation loss."""
     weight = positive_weight(train) if balanced else 1.0
     slice_ = salted_hash("valid", F.col(key)) % 1000
@@ -117,7 +118,7 @@ def fit_mlp_early_stop(
         model = PipelineModel([network])
         loss = log_loss(model, valid, weight)
         history.append((number, number * step, loss))
-        if loss < best_loss:
+        if loss < best_loss - tolerance:
             best, best_loss, waited = model, loss, 0
         else:
             waited += 1

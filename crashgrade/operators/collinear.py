@@ -14,13 +14,20 @@ MAX_VIF = 10.0
 
 
 def _survey(df: DataFrame, cols: Sequence[str]) -> tuple[list[str], dict[str, float]]:
-    """The columns with more than one value, and the mean of each column."""
-    row = df.agg(
-        *[(F.min(c) < F.max(c)).alias(f"varies_{i}") for i, c in enumerate(cols)],
-        *[F.avg(F.col(c).cast("double")).alias(f"mean_{i}") for i, c in enumerate(cols)],
-    ).first()
-    varying = [c for i, c in enumerate(cols) if row[f"varies_{i}"]]
-    return varying, {c: row[f"mean_{i}"] for i, c in enumerate(cols)}
+    """The columns with more than one value, and the mean of each of them."""
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    found = {
+        row["feature"]: row
+        for row in values.unpivot([], list(cols), "feature", "value")
+        .groupBy("feature")
+        .agg(
+            (F.min("value") < F.max("value")).alias("varies"),
+            F.avg("value").alias("mean"),
+        )
+        .collect()
+    }
+    varying = [c for c in cols if c in found and found[c]["varies"]]
+    return varying, {c: found[c]["mean"] for c in varying}
 
 
 def _correlation(df: DataFrame, cols: Sequence[str], means: dict[str, float]) -> np.ndarray:

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 # A key is hot when it may hold this share of the rows, so there are at most
 # 1 / HOT_SHARE of them and their list can always be broadcast.
 HOT_SHARE = 0.002
-_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
-          "g": 1 << 30, "gb": 1 << 30}
+_UNITS = {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}
 
 
 def estimated_bytes(df: DataFrame) -> float:
@@ -25,8 +24,8 @@ def estimated_bytes(df: DataFrame) -> float:
 
 def broadcast_limit(df: DataFrame) -> int:
     text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB").lower()
-    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", text).groups()
-    return int(number) * _UNITS.get(unit or "b", 1)
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]?)b?", text).groups()
+    return int(number) << _UNITS[unit]
 
 
 def hot_keys(fact: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:

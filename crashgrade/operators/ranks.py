@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -23,7 +24,7 @@ def cut_points(df: DataFrame, cols: Sequence[str]) -> list[float]:
     slots = SLOTS_PER_PARTITION * partitions
     shares = [i / slots for i in range(1, slots)]
     found = df.approxQuantile(list(cols), shares, 1.0 / (2 * slots))
-    return sorted({value for column in found for value in column})
+    return sorted({value for column in found for value in column if math.isfinite(value)})
 
 
 def running_totals(
@@ -43,10 +44,13 @@ def running_totals(
     """
     by = list(by)
     cuts = cut_points(df, [order_col]) if cuts is None else cuts
-    splits = [-float("inf"), *cuts, float("inf")]
+    splits = [-float("inf"), *(cuts or [0.0]), float("inf")]
     # The same filter on both uses of `df` lets Spark shuffle it once.
     known = df.where(F.col(order_col).isNotNull())
-    slotted = Bucketizer(splits=splits, inputCol=order_col, outputCol="slot").transform(known)
+    slotter = Bucketizer(
+        splits=splits, inputCol=order_col, outputCol="slot", handleInvalid="keep"
+    )
+    slotted = slotter.transform(known)
 
     earlier = Window.partitionBy(*by).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)

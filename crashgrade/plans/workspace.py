@@ -11,7 +11,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from functools import cached_property
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,13 @@ def workspace(spark: SparkSession, folder: str) -> "Workspace":
     return _OPEN[key]
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Uses every core for rows that are read many times. A table large enough
+    to fill the cores by itself is left as it lies, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 class Workspace:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -187,7 +196,7 @@ class Workspace:
     @cached_property
     def train(self) -> DataFrame:
         rows = self.vectors().where(F.col("part") == "train")
-        return rows.select(KEY, "severe", "features").persist()
+        return spread(rows.select(KEY, "severe", "features"), KEY).persist()
 
     @cached_property
     def early_stop(self) -> tuple[PipelineModel, list[tuple[int, int, float]]]:
@@ -210,7 +219,13 @@ class Workspace:
             self._fitted[name] = fit[name]()
         return self._fitted[name]
 
-    def models(self) -> dict[str, PipelineModel | Discriminant]:
+    def models(self, parallelism: int = 3) -> dict[str, PipelineModel | Discriminant]:
+        """All base models. They do not depend on each other, so several are
+        fitted at a time: their many short jobs fill each other's gaps."""
+        self.train.count()
+        with ThreadPool(parallelism) as pool:
+            # The longest fit starts first.
+            pool.map(inheritable_thread_target(self.spark)(self.model), BASE_MODELS[::-1], chunksize=1)
         return {name: self.model(name) for name in BASE_MODELS}
 
     def base_scores(self) -> DataFrame:
