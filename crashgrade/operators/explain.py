@@ -42,22 +42,31 @@ def group_importance(importance: DataFrame, registry: DataFrame) -> DataFrame:
 def shuffle_columns(
     df: DataFrame, cols: Sequence[str], key: str, buckets: int, salt: str = "perm"
 ) -> DataFrame:
-    """Adds `<col>_other`: the value of another row, as a permutation.
+    """Adds `<col>_other`, the value of another row, as a permutation, and
+    `copies`, the number of rows that a row of the result stands for.
 
     Rows fall into hash buckets of `key`, and within a bucket each row takes
     the values of the next one in hash order; the last takes the first. All
-    columns move together in one sort. `key` is unique, which keeps the buckets
-    even; for a table with copies of rows, `table_with_row_id` makes one.
+    columns move together in one sort. Copies of a row follow one another, so
+    all but the last would take their own values: they are counted instead,
+    which keeps the buckets even however often a row is repeated.
     """
     place = salted_hash(salt, F.col(key))
-    rows = df.withColumn("perm_bucket", place % buckets).withColumn("perm_place", place)
-    ring = Window.partitionBy("perm_bucket").orderBy("perm_place", key)
-    ahead = F.lead(F.struct(*cols)).over(ring)
-    first = F.first(F.struct(*cols)).over(
-        ring.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    distinct = df.groupBy(*df.columns).agg(F.count("*").alias("n_rows"))
+    rows = distinct.withColumn("perm_bucket", place % buckets).withColumn("perm_place", place)
+    ring = Window.partitionBy("perm_bucket").orderBy("perm_place", *df.columns)
+    own = F.struct(*[F.col(c).alias(f"{c}_other") for c in cols])
+    first = F.first(own).over(ring.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    moved = rows.withColumn("next", F.coalesce(F.lead(own).over(ring), first))
+    takes = F.array(
+        F.struct((F.col("n_rows") - 1).alias("copies"), own.alias("other")),
+        F.struct(F.lit(1).cast("bigint").alias("copies"), F.col("next").alias("other")),
+    )
+    return (
+        moved.select(*df.columns, F.inline(takes))
+        .where("copies > 0")
+        .select(*df.columns, "other.*", "copies")
     )
-    moved = rows.withColumn("other", F.coalesce(ahead, first))
-    return moved.select(*df.columns, *[F.col(f"other.{c}").alias(f"{c}_other") for c in cols])
 
 
 def permutation_importance(
@@ -70,9 +79,10 @@ def permutation_importance(
 ) -> DataFrame:
     """AUC lost when one column is shuffled: feature, auc, auc_loss.
 
-    `score` adds the column `p`. Every row is scored once as it is (feature
-    "(none)") and once per column, in a single plan, whose scores are kept in
-    the checkpoint folder, as the AUC reads them twice.
+    `score` adds the column `p` and keeps the columns it does not read. Every
+    row is scored once as it is (feature "(none)") and once per column, in a
+    single plan, whose scores are kept in the checkpoint folder, as the AUC
+    reads them twice.
     """
     shared_folder(df.sparkSession)
     if buckets is None:
@@ -82,8 +92,8 @@ def permutation_importance(
     swapped = shuffled.withColumns(
         {c: F.when(F.col("feature") == c, F.col(f"{c}_other")).otherwise(F.col(c)) for c in cols}
     ).drop(*[f"{c}_other" for c in cols])
-    scored = score(swapped).select("feature", F.col(target).alias("severe"), "p").checkpoint()
-    aucs = roc_auc(scored, ["feature"])
+    scored = score(swapped).select("feature", F.col(target).alias("severe"), "p", "copies")
+    aucs = roc_auc(scored.checkpoint(), ["feature"], "copies")
     # One row per column reaches this window.
     base = F.max(F.when(F.col("feature") == BASELINE, F.col("auc"))).over(Window.partitionBy())
     return aucs.select("feature", "auc", (base - F.col("auc")).alias("auc_loss"))

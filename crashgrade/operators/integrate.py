@@ -147,19 +147,20 @@ def attach_infra(
     cells: DataFrame,
     cell: str,
     prefix: str,
-    key: str = "accident_id",
+    spread_by: str = "accident_id",
     limit: int | None = None,
     key_source: DataFrame | None = None,
 ) -> DataFrame:
     """Adds the statistics of each accident's cell as `<prefix><name>`.
 
     `cells` has one row per cell. Accidents in a cell without roads get 0.
+    Rows of a crowded cell are told apart by `spread_by`.
     """
     named = cells.select(
         cell, *[F.col(c).alias(f"{prefix}{c}") for c in cells.columns if c != cell]
     )
     joined = join_dimension(
-        df, named, [cell], [key], how="left", limit=limit, key_source=key_source
+        df, named, [cell], [spread_by], how="left", limit=limit, key_source=key_source
     )
     added = [c for c in named.columns if c != cell]
     return joined.select(*df.columns, *[_zero_if_absent(joined, c) for c in added])
@@ -170,11 +171,11 @@ def attach_weather(
     weather: DataFrame,
     ts: str = "obs_ts",
     grid: str = "grid_id",
-    key: str = "accident_id",
+    spread_by: str = "accident_id",
     limit: int | None = None,
 ) -> DataFrame:
     """Adds the weather of each accident's grid point and hour; null if unknown."""
     keyed = df.withColumn("hr", hour_floor(F.col(ts)))
     facts = weather.withColumnRenamed("grid_id", grid) if grid != "grid_id" else weather
-    joined = join_dimension(keyed, facts, ["hr", grid], [key], how="left", limit=limit)
+    joined = join_dimension(keyed, facts, ["hr", grid], [spread_by], how="left", limit=limit)
     return joined.select(*df.columns, *[c for c in weather.columns if c not in ("hr", "grid_id")])

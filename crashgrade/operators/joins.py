@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it may hold this share of the rows, so there are at most
+# A key is hot when it holds this share of the rows, so there are at most
 # 1 / HOT_SHARE of them and their list can always be broadcast.
 HOT_SHARE = 0.002
 _UNITS = {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}
@@ -29,14 +30,35 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 def hot_keys(fact: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Hashes of every key that may hold at least `share` of the rows.
+    """Hashes of the keys that hold at least `share` of the rows, 1 / share at most.
 
-    One pass over the key columns without a shuffle. The result has at most
-    1 / share rows; it may hold a few keys that are not hot, never fewer.
+    One pass over the key columns, into sketches of bounded size: one per task,
+    merged in groups of tasks first, so that no task has to merge them all.
     """
-    hashed = fact.select(F.xxhash64(*keys).alias("key_hash"))
-    found = hashed.freqItems(["key_hash"], share)
-    return found.select(F.explode("key_hash_freqItems").alias("key_hash")).distinct()
+    groups = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = math.ceil(1 / share)
+    # The sketch's error is far below the share at eight times the items.
+    tracked = 8 * most
+    per_group = (
+        fact.select(
+            F.xxhash64(*keys).alias("key_hash"),
+            F.pmod(F.spark_partition_id(), F.lit(groups)).alias("task_group"),
+        )
+        .groupBy("task_group")
+        .agg(
+            F.expr(f"approx_top_k_accumulate(key_hash, {tracked})").alias("sketch"),
+            F.count("*").alias("n_rows"),
+        )
+    )
+    # One group, but none for a table without rows.
+    merged = per_group.groupBy(F.lit(1)).agg(
+        F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"),
+        F.sum("n_rows").alias("n_rows"),
+    )
+    top = merged.select("n_rows", F.expr(f"inline(approx_top_k_estimate(sketch, {most}))"))
+    return top.where(F.col("count") >= F.col("n_rows") * share).select(
+        F.col("item").alias("key_hash")
+    )
 
 
 def join_dimension(

@@ -59,12 +59,19 @@ def matthews(conf: DataFrame) -> DataFrame:
     return conf.withColumn("matthews", F.coalesce(ratio(tp * tn - fp * fn, margins), F.lit(0.0)))
 
 
-def score_counts(scored: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Severe and other rows per distinct score."""
+def score_counts(
+    scored: DataFrame, by: Sequence[str] = ("model",), copies: str | None = None
+) -> DataFrame:
+    """Severe and other rows per distinct score. A row may stand for several,
+    whose number is in the column `copies`."""
+    n = F.col(copies) if copies else F.lit(1)
     return (
         scored.where(F.col("p").isNotNull())
         .groupBy(*by, "p")
-        .agg(F.sum("severe").alias("pos"), F.sum(1 - F.col("severe")).alias("neg"))
+        .agg(
+            F.sum(F.col("severe") * n).alias("pos"),
+            F.sum((1 - F.col("severe")) * n).alias("neg"),
+        )
     )
 
 
@@ -80,11 +87,13 @@ def _auc(counts: DataFrame, by: Sequence[str], cuts: Sequence[float]) -> DataFra
     return ranked.groupBy(*by).agg(ratio(wins_twice, pairs_twice).alias("auc"))
 
 
-def roc_auc(scored: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+def roc_auc(
+    scored: DataFrame, by: Sequence[str] = ("model",), copies: str | None = None
+) -> DataFrame:
     """Share of (severe, not severe) pairs that the score puts in order; ties
     count half. Exact: rows are counted per distinct score, then ranked with
     `running_totals`. Null if a class has no rows."""
-    return _auc(score_counts(scored, by), by, cut_points(scored, ["p"]))
+    return _auc(score_counts(scored, by, copies), by, cut_points(scored, ["p"]))
 
 
 def _rates(scored: DataFrame, bins: int) -> DataFrame:

@@ -105,7 +105,7 @@ def weather(ws):
 
 @query
 def accidents(ws):
-    return derived.accidents(ws.spark, ws.folder, ws.zones())
+    return derived.accidents(ws.spark, ws.folder, ws.zones()).drop("row_id")
 
 
 # Sources and sinks
@@ -178,16 +178,16 @@ def model_roundtrip(ws):
     path = ws.path("model_store")
     stack.save_all(ws.spark, ws.preparation, ws.models(), ws.stack, path)
     preparation, models, stacked = stack.load_all(ws.spark, path)
-    keep = [KEY, "part"]
-    first = prepare.prepare(ws.preparation, ws.base(), ws.feature_names, keep)
-    first = stack.stack_scores(ws.stack, classifiers.base_scores(ws.models(), first))
-    again = prepare.prepare(preparation, ws.base(), ws.feature_names, keep)
-    again = stack.stack_scores(stacked, classifiers.base_scores(models, again))
     names = list(stack.ALL_MODELS)
-    both = first.select(KEY, *[F.col(n).alias(f"first_{n}") for n in names]).join(
-        again.select(KEY, *names), KEY
-    )
-    gaps = both.agg(
+    cols = ws.feature_names
+    # Both sets of models score the same rows in turn, without a join.
+    rows = prepare.prepare(ws.preparation, ws.base(), cols, cols)
+    rows = stack.stack_scores(ws.stack, classifiers.base_scores(ws.models(), rows))
+    rows = rows.drop("features").withColumnsRenamed({n: f"first_{n}" for n in names})
+    firsts = [f"first_{n}" for n in names]
+    rows = prepare.prepare(preparation, rows, cols, firsts)
+    rows = stack.stack_scores(stacked, classifiers.base_scores(models, rows))
+    gaps = rows.agg(
         *[F.max(F.abs(F.col(n) - F.col(f"first_{n}"))).alias(n) for n in names],
         F.count("*").alias("n_rows"),
     )
@@ -246,17 +246,20 @@ def cell_statistics(ws):
 @query
 def attach_infra(ws):
     """Statistics of each accident's cell, at all three resolutions."""
-    df = ws.with_cells(ws.accidents()).select(KEY, *[f"cell_{r}" for r in RESOLUTIONS])
+    places = ws.with_cells(ws.accidents())
+    df = places.select(KEY, "row_id", *[f"cell_{r}" for r in RESOLUTIONS])
     for res in RESOLUTIONS:
         cells = ws.cell_statistics(res, "n_segments", "road_len", "mean_speed")
-        df = integrate.attach_infra(df, cells, f"cell_{res}", f"hex{res}_")
-    return df.drop(*[f"cell_{r}" for r in RESOLUTIONS])
+        df = integrate.attach_infra(
+            df, cells, f"cell_{res}", f"hex{res}_", spread_by="row_id", key_source=places
+        )
+    return df.drop("row_id", *[f"cell_{r}" for r in RESOLUTIONS])
 
 
 @query
 def attach_weather(ws):
-    df = ws.accidents().select(KEY, "obs_ts", "grid_id")
-    return integrate.attach_weather(df, ws.weather()).drop("obs_ts")
+    df = ws.accidents().select(KEY, "row_id", "obs_ts", "grid_id")
+    return integrate.attach_weather(df, ws.weather(), spread_by="row_id").drop("obs_ts", "row_id")
 
 
 @query
@@ -289,7 +292,7 @@ def binarise_severity(ws):
 @query
 def drop_leaky(ws):
     kept = clean.drop_leaky(ws.with_cells(ws.accidents()))
-    return kept.drop("h", "score")
+    return kept.drop("h", "score", "row_id")
 
 
 @query
@@ -371,7 +374,7 @@ def rain_x_curves(ws):
 
 @query
 def temp_x_curvature(ws):
-    df = integrate.attach_weather(ws.accidents(), ws.weather())
+    df = integrate.attach_weather(ws.accidents(), ws.weather(), spread_by="row_id")
     bend = interactions.curvature(F.col("n_curves"), F.col("road_len"))
     return df.select(KEY, interactions.temp_x_curvature(F.col("temp_c"), bend).alias("value"))
 
@@ -740,7 +743,7 @@ def permutation_importance_boosted(ws):
     cols = ws.feature_names
 
     def boosted(df: DataFrame) -> DataFrame:
-        vectors = prepare.prepare(ws.preparation, df, cols, ["feature", "severe"])
+        vectors = prepare.prepare(ws.preparation, df, cols, ["feature", "severe", "copies"])
         return classifiers.add_score(vectors, model, "p")
 
     test = ws.base().where(F.col("part") == "test").select(KEY, "severe", *cols)

@@ -127,7 +127,7 @@ class Workspace:
 
         def build() -> DataFrame:
             places = self.with_cells(self.accidents())
-            df = integrate.attach_weather(places, self.weather())
+            df = integrate.attach_weather(places, self.weather(), spread_by="row_id")
             for res, names in (
                 (9, ["road_len", "n_curves", "urban"]),
                 (10, ["road_len", "bridge_len", "dominant"]),
@@ -135,7 +135,7 @@ class Workspace:
             ):
                 df = integrate.attach_infra(
                     df, self.cell_statistics(res, *names), f"cell_{res}", f"hex{res}_",
-                    key_source=places,
+                    spread_by="row_id", key_source=places,
                 )
             df = features.interaction_features(features.temporal_features(df))
             df = features.one_hot(df, "road_type", derived.ACCIDENT_ROADS, "road_")

@@ -40,11 +40,14 @@ def road_features(spark: SparkSession, folder: str) -> DataFrame:
     )
     orders = table(spark, folder, "orders", "o_orderkey", "o_custkey")
     parts = table(spark, folder, "part", "p_partkey", "p_type", "p_size")
+    keys = table(spark, folder, "lineitem", "l_orderkey", "l_partkey")
     placed = join_dimension(
-        items, orders.withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"], ["row_id"]
+        items, orders.withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"], ["row_id"],
+        key_source=keys,
     )
     typed = join_dimension(
-        placed, parts.withColumnRenamed("p_partkey", "l_partkey"), ["l_partkey"], ["row_id"]
+        placed, parts.withColumnRenamed("p_partkey", "l_partkey"), ["l_partkey"], ["row_id"],
+        key_source=keys,
     )
     size = F.col("p_size")
     kind = (
@@ -143,14 +146,21 @@ def planted_score(bridge_len: Column, rush: Column, precip: Column, road_type: C
 
 
 def accidents(spark: SparkSession, folder: str, zone_table: DataFrame) -> DataFrame:
-    """One row per accident, with the statistics of its zone and its label."""
-    events = table(spark, folder, "events", "event_id", "ts", "user_id", "event_type", "value")
+    """One row per accident, with the statistics of its zone, its label, and a
+    `row_id` that also tells copies of an accident apart."""
+    events = table_with_row_id(
+        spark, folder, "events", "event_id", "ts", "user_id", "event_type", "value"
+    )
     located = join_dimension(
-        events.withColumnRenamed("user_id", "zone_id"), zone_table, ["zone_id"], ["event_id"]
+        events.withColumnRenamed("user_id", "zone_id"), zone_table, ["zone_id"], ["row_id"],
+        key_source=table(spark, folder, "events", "user_id").withColumnRenamed(
+            "user_id", "zone_id"
+        ),
     )
     shift = F.make_dt_interval((F.col("zone_id") % 12 * 30).cast("int"))
     lat, lon = _place(F.col("event_id"), "lat", "lon")
     rows = located.select(
+        "row_id",
         F.col("event_id").alias("accident_id"),
         "zone_id",
         (F.col("zone_id") % 5).alias("grid_id"),
