@@ -32,9 +32,12 @@ def _weighted(train: DataFrame, balanced: bool) -> DataFrame:
     return train.withColumn(WEIGHT, weight_column(weight))
 
 
-def fit_logistic(train: DataFrame, balanced: bool = False, max_iter: int = 100) -> PipelineModel:
+def fit_logistic(
+    train: DataFrame, balanced: bool = False, max_iter: int = 100, tolerance: float = 1e-6
+) -> PipelineModel:
     learner = LogisticRegression(
-        featuresCol="features", labelCol="severe", weightCol=WEIGHT, maxIter=max_iter
+        featuresCol="features", labelCol="severe", weightCol=WEIGHT, maxIter=max_iter,
+        tol=tolerance,
     )
     return PipelineModel([learner.fit(_weighted(train, balanced))])
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from crashgrade.operators.reshape import to_rows
 
-SLOTS_PER_PARTITION = 4
+SLOTS_PER_PARTITION = 2
 
 
 def cut_points(df: DataFrame, cols: Sequence[str]) -> list[float]:
@@ -23,7 +23,7 @@ def cut_points(df: DataFrame, cols: Sequence[str]) -> list[float]:
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = SLOTS_PER_PARTITION * partitions
     shares = [i / slots for i in range(1, slots)]
-    found = df.approxQuantile(list(cols), shares, 1.0 / (2 * slots))
+    found = df.approxQuantile(list(cols), shares, 1.0 / slots)
     return sorted({value for column in found for value in column if math.isfinite(value)})
 
 

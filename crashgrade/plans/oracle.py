@@ -504,6 +504,13 @@ def oracles() -> dict[str, str]:
         cast(sum(severe) AS double) / count(*) AS severe_share FROM accidents GROUP BY part"""
 
     # Models in closed form
+    q["fit_logistic_one_flag"] = """, odds AS (SELECT
+          ln(cast(count(*) FILTER (severe = 1 AND rush_hour = 0) AS double)
+             / count(*) FILTER (severe = 0 AND rush_hour = 0)) AS without,
+          ln(cast(count(*) FILTER (severe = 1 AND rush_hour = 1) AS double)
+             / count(*) FILTER (severe = 0 AND rush_hour = 1)) AS during FROM accidents)
+        SELECT '(intercept)' AS feature, round(without, 4) AS coefficient FROM odds
+        UNION ALL SELECT 'rush_hour', round(during - without, 4) FROM odds"""
     q["fit_lda"] = LDA2 + """SELECT 'precip' AS feature, round(wa, 6) AS coefficient FROM w
         UNION ALL SELECT 'bridge_len', round(wb, 6) FROM w
         UNION ALL SELECT '(intercept)', round(ln(cast(n1 AS double) / n0)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from crashgrade.models import classifiers, discriminant, prepare, stack
 from crashgrade.operators import (
     clean, collinear, explain, features, integrate, metrics, split, threshold,
 )
-from crashgrade.plans import hypotheses
+from crashgrade.plans import artifacts, hypotheses
 from crashgrade.plans.workspace import KEY, OUTLIER_COLUMNS, Workspace, workspace
 from crashgrade.sources import derived, readers, sinks
 
@@ -194,6 +196,24 @@ def model_roundtrip(ws):
     return gaps.unpivot(["n_rows"], names, "model", "max_gap")
 
 
+def _results(ws: Workspace) -> str:
+    """Folder of the stored results, which are written on first use."""
+    return ws.stored_folder("results", lambda path: artifacts.store_results(ws, path))
+
+
+@query
+def store_results(ws):
+    """All results of the analysis, stored and read back: rows per table."""
+    return artifacts.inventory(ws.spark, _results(ws))
+
+
+@query
+def score_new(ws):
+    """Class of every accident, outliers too, from the stored models."""
+    scored = artifacts.score_new(ws.spark, _results(ws), ws.joined(), [KEY, "part"])
+    return scored.groupBy("part", "predicted").agg(F.count("*").alias("n_rows"))
+
+
 # Integration
 
 
@@ -478,6 +498,18 @@ def fit_logistic(ws):
     return ws.spark.createDataFrame(rows, "feature string, coefficient double")
 
 
+@query
+def fit_logistic_one_flag(ws):
+    """With a single 0/1 feature the coefficients are log odds."""
+    rows = VectorAssembler(inputCols=["rush_hour"], outputCol="features").transform(ws.accidents())
+    fitted = classifiers.fit_logistic(rows, tolerance=1e-12).stages[-1]
+    table = ws.spark.createDataFrame(
+        [("(intercept)", fitted.intercept), ("rush_hour", float(fitted.coefficients[0]))],
+        "feature string, coefficient double",
+    )
+    return rounded(table, "coefficient", digits=4)
+
+
 @query
 def fit_lda(ws):
     """Two columns, for which the discriminant has a closed form."""
@@ -656,6 +688,16 @@ def pr_points(ws):
     return metrics.pr_points(rules_long(ws))
 
 
+@query
+def roc_points_models(ws):
+    return metrics.roc_points(ws.long_scores("test"))
+
+
+@query
+def pr_points_models(ws):
+    return metrics.pr_points(ws.long_scores("test"))
+
+
 @query
 def max_chance(ws):
     return metrics.max_chance(ws.accidents())
@@ -767,6 +809,18 @@ def shap_summary(ws):
     return rounded(explain.shap_summary(shap, list(PLANTED_WEIGHTS), KEY), "mean_abs")
 
 
+@query
+def shap_summary_logistic(ws):
+    """Mean absolute contribution of each feature to the logistic model's log odds."""
+    names = ws.feature_names
+    entries = vector_to_array(F.col("features"))
+    test = ws.vectors().where(F.col("part") == "test")
+    columns = test.select(KEY, *[entries[i].alias(n) for i, n in enumerate(names)])
+    weights = ws.model("logistic").stages[-1].coefficients.toArray()
+    shap = explain.linear_shap(columns, {n: float(w) for n, w in zip(names, weights)}, KEY)
+    return explain.shap_summary(shap, names, KEY)
+
+
 @query
 def effect_direction(ws):
     df = features.one_hot(ws.accidents(), "road_type", derived.ACCIDENT_ROADS, "road_")

@@ -39,6 +39,13 @@ def workspace(spark: SparkSession, folder: str) -> "Workspace":
     return _OPEN[key]
 
 
+def forget(spark: SparkSession, folder: str) -> None:
+    """Drops a workspace, so that the next use reads changed input anew."""
+    ws = _OPEN.pop((spark.sparkContext.applicationId, folder.rstrip("/")), None)
+    if ws is not None and "train" in ws.__dict__:
+        ws.train.unpersist()
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Uses every core for rows that are read many times. A table large enough
     to fill the cores by itself is left as it lies, without a shuffle."""
@@ -61,9 +68,16 @@ class Workspace:
         self, name: str, build: Callable[[], DataFrame], fmt: str = "parquet", **options: str
     ) -> str:
         """Path of a table, which is written on first use."""
+        return self.stored_folder(
+            name,
+            lambda path: build().write.mode("overwrite").format(fmt).options(**options).save(path),
+        )
+
+    def stored_folder(self, name: str, write: Callable[[str], None]) -> str:
+        """Path of whatever `write` puts there, on first use."""
         path = self.path(name)
         if name not in self._written:
-            build().write.mode("overwrite").format(fmt).options(**options).save(path)
+            write(path)
             self._written.add(name)
         return path
 
@@ -250,10 +264,7 @@ class Workspace:
             meta = self.scores().where(F.col("part") == "meta")
             return threshold.tune_all(meta, ALL_MODELS)
 
-        path = self.path("thresholds")
-        if "thresholds" not in self._written:
-            sinks.write_thresholds(build(), path)
-            self._written.add("thresholds")
+        path = self.stored_folder("thresholds", lambda to: sinks.write_thresholds(build(), to))
         return sinks.read_thresholds(self.spark, path)
 
     def long_scores(self, part: str) -> DataFrame:

@@ -200,3 +200,30 @@ def test_chance_bar_is_reported_even_if_no_model_passes(spark, ws):
     rows = QUERIES["chance_models"](spark, MEDIUM).collect()
     assert len(rows) == 6
     assert all(r["passes"] == int(r["accuracy"] > r["bar"]) for r in rows)
+
+
+def test_everything_is_stored_and_scores_new_rows(spark, ws, tmp_path):
+    from crashgrade.plans import artifacts
+
+    folder = str(tmp_path / "results")
+    artifacts.store_results(ws, folder)
+    rows = {r["artifact"]: r["n_rows"] for r in artifacts.inventory(spark, folder).collect()}
+    assert rows["clean_base"] == ws.base().count()
+    assert rows["features"] == rows["importance"] == len(ws.feature_names)
+    assert rows["thresholds"] == rows["comparison"] == rows["confusion"] == 6
+    new = ws.base().where("part = 'test'").select("accident_id", *ws.feature_names)
+    scored = artifacts.score_new(spark, folder, new, ["accident_id"])
+    before = ws.scores().where("part = 'test'").select("accident_id", F.col("stack").alias("first"))
+    gap = scored.join(before, "accident_id").agg(F.count("*"), F.max(F.abs(F.col("stack") - F.col("first")))).first()
+    assert gap[0] == new.count() and gap[1] == 0
+
+
+def test_a_forgotten_workspace_is_built_anew(spark):
+    from conftest import SMALL
+
+    from crashgrade.plans.workspace import forget, workspace
+
+    first = workspace(spark, SMALL)
+    assert workspace(spark, SMALL + "/") is first
+    forget(spark, SMALL)
+    assert workspace(spark, SMALL) is not first
