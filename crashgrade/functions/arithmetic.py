@@ -9,8 +9,3 @@ from pyspark.sql import functions as F
 def ratio(top: Column, bottom: Column) -> Column:
     """A double quotient; null where the bottom is zero."""
     return top.cast("double") / F.nullif(bottom.cast("double"), F.lit(0.0))
-
-
-def count_where(condition: Column) -> Column:
-    """Rows meeting a condition, 0 on empty input."""
-    return F.count_if(condition)

@@ -43,12 +43,14 @@ def fit_logistic(
 
 
 def fit_forest(
-    train: DataFrame, sample: float = 0.10, trees: int = 50, depth: int = 8, balanced: bool = True
+    train: DataFrame, sample: float = 0.10, trees: int = 50, depth: int = 8, balanced: bool = True,
+    bootstrap: bool = True,
 ) -> PipelineModel:
-    """Random forest; every tree sees a tenth of the rows."""
+    """Random forest; every tree sees a tenth of the rows, drawn with
+    replacement unless `bootstrap` is off."""
     learner = RandomForestClassifier(
         featuresCol="features", labelCol="severe", weightCol=WEIGHT, numTrees=trees,
-        maxDepth=depth, subsamplingRate=sample, seed=SEED,
+        maxDepth=depth, subsamplingRate=sample, bootstrap=bootstrap, seed=SEED,
     )
     return PipelineModel([learner.fit(_weighted(train, balanced))])
 

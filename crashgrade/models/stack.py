@@ -20,7 +20,9 @@ STACK = "stack"
 ALL_MODELS = (*BASE_MODELS, STACK)
 
 
-def fit_stack(scores_meta: DataFrame, names: Sequence[str] = BASE_MODELS) -> PipelineModel:
+def fit_stack(
+    scores_meta: DataFrame, names: Sequence[str] = BASE_MODELS, tolerance: float = 1e-6
+) -> PipelineModel:
     """Logistic regression on the base scores of the meta holdout.
 
     The stack's cut is later tuned on the same rows, as is the practice this
@@ -28,7 +30,7 @@ def fit_stack(scores_meta: DataFrame, names: Sequence[str] = BASE_MODELS) -> Pip
     """
     stages = [
         VectorAssembler(inputCols=list(names), outputCol="base_scores"),
-        LogisticRegression(featuresCol="base_scores", labelCol="severe"),
+        LogisticRegression(featuresCol="base_scores", labelCol="severe", tol=tolerance),
     ]
     return Pipeline(stages=stages).fit(scores_meta)
 

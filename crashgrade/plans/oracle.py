@@ -511,6 +511,29 @@ def oracles() -> dict[str, str]:
              / count(*) FILTER (severe = 0 AND rush_hour = 1)) AS during FROM accidents)
         SELECT '(intercept)' AS feature, round(without, 4) AS coefficient FROM odds
         UNION ALL SELECT 'rush_hour', round(during - without, 4) FROM odds"""
+    per_flag = """SELECT rush_hour, count(*) AS n_rows, round({p}, 6) AS lowest,
+        round({p}, 6) AS highest FROM accidents GROUP BY rush_hour"""
+    weight = "(SELECT cast(sum(1 - severe) AS double) / sum(severe) FROM accidents)"
+    q["fit_forest_one_flag"] = per_flag.format(
+        p=f"sum(severe) * {weight} / (sum(severe) * {weight} + sum(1 - severe))"
+    )
+    q["fit_boosted_one_flag"] = per_flag.format(
+        p="1e0 / (1e0 + exp(-2e0 * (cast(sum(2 * severe - 1) AS double) / count(*))))"
+    )
+    q["fit_stack_one_score"] = """, odds AS (SELECT p,
+          ln(cast(sum(severe) AS double) / sum(1 - severe)) AS logit
+          FROM rules WHERE part = 'meta' AND model = 'rule_time' GROUP BY p),
+        slope AS (SELECT (max(logit) FILTER (p = 0.75e0) - max(logit) FILTER (p = 0.25e0)) / 0.5e0
+          AS weight FROM odds)
+        SELECT 'rule_time' AS model, round(weight, 4) AS weight,
+               CASE WHEN weight > 0 THEN 'positive' ELSE 'negative' END AS sign,
+               cast(1 AS bigint) AS weight_rank FROM slope"""
+    q["lda_scores"] = LDA2 + """SELECT accident_id, round(1e0 / (1e0 + exp(-(
+          ln(cast(n1 AS double) / n0) - 0.5e0 * ((a1 + a0) * wa + (b1 + b0) * wb)
+          + wa * precip + wb * bridge_len))), 6) AS p FROM accidents, w"""
+    q["model_roundtrip"] = JOINED + FENCED + """SELECT model, count(*) AS n_rows, 0e0 AS max_gap
+        FROM base, (VALUES ('logistic'), ('lda'), ('forest'), ('mlp'), ('boosted'), ('stack'))
+          AS names(model) GROUP BY model"""
     q["fit_lda"] = LDA2 + """SELECT 'precip' AS feature, round(wa, 6) AS coefficient FROM w
         UNION ALL SELECT 'bridge_len', round(wb, 6) FROM w
         UNION ALL SELECT '(intercept)', round(ln(cast(n1 AS double) / n0)

@@ -498,11 +498,24 @@ def fit_logistic(ws):
     return ws.spark.createDataFrame(rows, "feature string, coefficient double")
 
 
+def _one_flag(ws: Workspace) -> DataFrame:
+    """All accidents with the rush hour as the only feature. With a single 0/1
+    feature every model below has a closed form."""
+    return VectorAssembler(inputCols=["rush_hour"], outputCol="features").transform(ws.accidents())
+
+
+def _score_per_flag(ws: Workspace, model) -> DataFrame:
+    scored = classifiers.add_score(_one_flag(ws), model, "p")
+    levels = scored.groupBy("rush_hour").agg(
+        F.count("*").alias("n_rows"), F.min("p").alias("lowest"), F.max("p").alias("highest")
+    )
+    return rounded(levels, "lowest", "highest")
+
+
 @query
 def fit_logistic_one_flag(ws):
-    """With a single 0/1 feature the coefficients are log odds."""
-    rows = VectorAssembler(inputCols=["rush_hour"], outputCol="features").transform(ws.accidents())
-    fitted = classifiers.fit_logistic(rows, tolerance=1e-12).stages[-1]
+    """The coefficients are log odds."""
+    fitted = classifiers.fit_logistic(_one_flag(ws), tolerance=1e-12).stages[-1]
     table = ws.spark.createDataFrame(
         [("(intercept)", fitted.intercept), ("rush_hour", float(fitted.coefficients[0]))],
         "feature string, coefficient double",
@@ -510,6 +523,28 @@ def fit_logistic_one_flag(ws):
     return rounded(table, "coefficient", digits=4)
 
 
+@query
+def fit_forest_one_flag(ws):
+    """One tree over all rows scores the weighted severe share of each level."""
+    model = classifiers.fit_forest(_one_flag(ws), sample=1.0, trees=1, depth=1, bootstrap=False)
+    return _score_per_flag(ws, model)
+
+
+@query
+def fit_boosted_one_flag(ws):
+    """One round scores the mean of the labels -1 and 1, through the logistic curve."""
+    model = classifiers.fit_boosted(_one_flag(ws), trees=1, depth=1, balanced=False)
+    return _score_per_flag(ws, model)
+
+
+@query
+def fit_stack_one_score(ws):
+    """A stack of one score with two values: its weight is a slope of log odds."""
+    meta = rule_scores(ws).where(F.col("part") == "meta")
+    model = stack.fit_stack(meta, ["rule_time"], tolerance=1e-12)
+    return rounded(stack.stack_weights(ws.spark, model, ["rule_time"]), "weight", digits=4)
+
+
 @query
 def fit_lda(ws):
     """Two columns, for which the discriminant has a closed form."""
@@ -518,6 +553,15 @@ def fit_lda(ws):
     return rounded(table, "coefficient")
 
 
+@query
+def lda_scores(ws):
+    """P(severe) of every accident by the discriminant of two columns."""
+    cols = ["precip", "bridge_len"]
+    model = discriminant.fit_lda(ws.accidents(), cols)
+    p = model.probability_of({c: F.col(c) for c in cols})
+    return rounded(ws.accidents().select(KEY, p.alias("p")), "p")
+
+
 @query
 def fit_lda_all_features(ws):
     return discriminant.discriminant_table(ws.spark, ws.model("lda"))

@@ -23,6 +23,7 @@ from crashgrade.models import classifiers, discriminant, prepare
 from crashgrade.models.discriminant import Discriminant
 from crashgrade.models.stack import ALL_MODELS, BASE_MODELS, fit_stack, stack_scores
 from crashgrade.operators import clean, collinear, features, integrate, split, threshold
+from crashgrade.operators.joins import estimated_bytes
 from crashgrade.session import shared_folder
 from crashgrade.sources import derived, readers, sinks
 
@@ -47,10 +48,12 @@ def forget(spark: SparkSession, folder: str) -> None:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Uses every core for rows that are read many times. A table large enough
-    to fill the cores by itself is left as it lies, without a shuffle."""
+    """Uses more cores, up to one per megabyte, for rows that are read many
+    times. A table large enough to fill the cores by itself is left as it lies,
+    without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    wanted = int(min(cores, estimated_bytes(df) // (1 << 20)))
+    return df.repartition(wanted, key) if wanted > df.rdd.getNumPartitions() else df
 
 
 class Workspace:
