@@ -11,6 +11,7 @@ from crashgrade.llm.mixing import mix_sources
 from crashgrade.llm.packing import pack
 from crashgrade.llm.quality import classify_quality
 from crashgrade.llm.secrets import find_secrets
+from crashgrade.llm.shingle_join import link_documents
 from crashgrade.llm.topk import exact_top_k
 
 
@@ -38,6 +39,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ QUERIES = {
         op4_source_mixing,
         op5_exact_dedup,
         op6_best_fit_packing,
+        op8_shingle_join,
         op10_language_id,
     )
 }
