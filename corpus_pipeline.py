@@ -10,6 +10,7 @@ from crashgrade.llm.exact_dedup import drop_exact_copies
 from crashgrade.llm.language import keep_identified
 from crashgrade.llm.mixing import apply_mix
 from crashgrade.llm.packing import pack
+from crashgrade.llm.shingle_join import drop_near_copies
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +23,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked near copies, the document with the smallest id stays."""
+    return drop_near_copies(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target wants it, 3 times at most."""
     return apply_mix(docs)
@@ -35,6 +41,7 @@ def bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language", language),
     ("exact", exact),
+    ("near", near),
     ("mix", mix),
     ("pack", bins),
 ]
