@@ -12,6 +12,7 @@ from crashgrade.llm.packing import pack
 from crashgrade.llm.quality import classify_quality
 from crashgrade.llm.secrets import find_secrets
 from crashgrade.llm.shingle_join import link_documents
+from crashgrade.llm.suffix_dedup import remove_repeats
 from crashgrade.llm.topk import exact_top_k
 
 
@@ -43,6 +44,10 @@ def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES = {
         op5_exact_dedup,
         op6_best_fit_packing,
         op8_shingle_join,
+        op9_suffix_dedup,
         op10_language_id,
     )
 }
