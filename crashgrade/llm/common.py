@@ -166,3 +166,26 @@ def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=sums[1:])
     n = len(data) - width + 1
     return mix((sums[width:] - sums[:n]) * powers(_INVERSE, n))
+
+
+_FILTER_BITS = 26
+
+
+def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
+    """Bit set for each key (a long, well mixed), in an array of fixed size."""
+    slot = F.shiftrightunsigned(F.col(column), 64 - _FILTER_BITS)
+    words = (
+        keys.select(slot.alias("slot"))
+        .groupBy(F.shiftright("slot", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    )
+    # At most 2 ** 20 rows, whatever the number of keys.
+    got = words.toArrow()
+    bits = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.uint64)
+    bits[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return bits
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys >> np.uint64(64 - _FILTER_BITS)
+    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1

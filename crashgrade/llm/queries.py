@@ -9,6 +9,7 @@ from crashgrade.llm.exact_dedup import exact_groups
 from crashgrade.llm.language import identify_languages
 from crashgrade.llm.mixing import mix_sources
 from crashgrade.llm.packing import pack
+from crashgrade.llm.passages import near_passages
 from crashgrade.llm.quality import classify_quality
 from crashgrade.llm.secrets import find_secrets
 from crashgrade.llm.shingle_join import link_documents
@@ -40,6 +41,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES = {
         op4_source_mixing,
         op5_exact_dedup,
         op6_best_fit_packing,
+        op7_compact_windows,
         op8_shingle_join,
         op9_suffix_dedup,
         op10_language_id,

@@ -9,14 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crashgrade.llm.common import IS_SPACE, mix, powers, stored, text_of, text_slices, window_hashes
+from crashgrade.llm.common import IS_SPACE, bitmap_of, in_bitmap, mix, powers, stored, text_of, text_slices, window_hashes
 
 LENGTH = 200
 ANCHOR = 48
 LOOK_BACK = 64
 BUCKET_SEGMENTS = 5_000
 MOST_SEGMENTS = 20_000
-_FILTER_BITS = 26
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -189,26 +188,6 @@ def repeated_windows(segments: list[bytes]) -> list[np.ndarray]:
     return np.split(found, np.cumsum(counts)[:-1]) if len(segments) else []
 
 
-def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """Bit set for each key (a long, well mixed), in an array of fixed size."""
-    slot = F.shiftrightunsigned(F.col(column), 64 - _FILTER_BITS)
-    words = (
-        keys.select(slot.alias("slot"))
-        .groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    )
-    # At most 2 ** 20 rows, whatever the number of keys.
-    got = words.toArrow()
-    bits = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.uint64)
-    bits[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return bits
-
-
-def _in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys >> np.uint64(64 - _FILTER_BITS)
-    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _twice(where: Column) -> Column:
     return F.min(where) != F.max(where)
 
@@ -236,13 +215,13 @@ def repeated_spans(
         .agg(_twice(F.col("place")).alias("twice"))
         .where("twice")
     )
-    filtered = spark.sparkContext.broadcast(_bitmap(marks, "mark"))
+    filtered = spark.sparkContext.broadcast(bitmap_of(marks, "mark"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, _, data, offsets in text_slices(batch.column(1)):
                 text, start, n, mark = anchors(data, offsets)
-                keep = _in_bitmap(filtered.value, mark)
+                keep = in_bitmap(filtered.value, mark)
                 text, start, n, mark = text[keep], start[keep], n[keep], mark[keep]
                 at = offsets[text] + start
                 raw = data.tobytes()
@@ -402,13 +381,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .agg(F.collect_list(F.struct("start", "end")).alias("spans")),
         "spans",
     )
-    touched = spark.sparkContext.broadcast(_bitmap(per_text.select(F.xxhash64("t").alias("h")), "h"))
+    touched = spark.sparkContext.broadcast(bitmap_of(per_text.select(F.xxhash64("t").alias("h")), "h"))
 
     @F.pandas_udf("boolean")
     def maybe(h):
         import pandas as pd
 
-        return pd.Series(_in_bitmap(touched.value, h.to_numpy().view(np.uint64)))
+        return pd.Series(in_bitmap(touched.value, h.to_numpy().view(np.uint64)))
 
     flagged = rows.select("*", digest).withColumn("maybe", maybe(F.xxhash64("t")))
     out = "doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed".split(", ")
