@@ -128,7 +128,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     at = least[begins] & _PLACE
     low = begins.astype(np.uint64) & _PLACE
     anchor = begins + ((at - low) & _PLACE).astype(np.int64)
-    return text[begins], begins - offsets[text[begins]], ends - begins, hashes[anchor]
+    # The least hashes are small, so they are scattered anew for the bitmap.
+    return text[begins], begins - offsets[text[begins]], ends - begins, mix(hashes[anchor])
 
 
 def repeated_windows(segments: list[bytes]) -> list[np.ndarray]:
