@@ -49,10 +49,17 @@ def remove_outliers(df: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def binarise_severity(
-    df: DataFrame, severe_codes: Sequence[str], column: str = "severity"
+    df: DataFrame,
+    severe_codes: Sequence[str],
+    light_codes: Sequence[str],
+    column: str = "severity",
 ) -> DataFrame:
-    """Severe and fatal codes to 1, every other code to 0."""
-    return df.withColumn("severe", F.when(F.col(column).isin(*severe_codes), 1).otherwise(0))
+    """Severe and fatal codes to 1, light and moderate ones to 0, null and any
+    other code to null, so that a broken line does not become a light accident."""
+    code = F.col(column)
+    return df.withColumn(
+        "severe", F.when(code.isin(*severe_codes), 1).when(code.isin(*light_codes), 0)
+    )
 
 
 def drop_leaky(df: DataFrame, columns: Sequence[str] = LEAKY) -> DataFrame:

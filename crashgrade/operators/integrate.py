@@ -54,10 +54,17 @@ def infra_by_cell(features: DataFrame, cell: str, bridge_type: str) -> DataFrame
 
 
 def length_by_type(features: DataFrame, cell: str, road_types: Sequence[str]) -> DataFrame:
-    """Road kilometres per cell, one column per road type."""
-    wide = features.groupBy(cell).pivot("road_type", list(road_types)).agg(F.sum("length_km"))
-    return wide.select(
-        cell, *[F.coalesce(F.col(t), F.lit(0.0)).alias(f"len_{t.lower()}") for t in road_types]
+    """Road kilometres per cell, one column per road type and one for all other
+    types, null included; together they are the cell's kilometres."""
+
+    def length(where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, F.col("length_km"))), F.lit(0.0))
+
+    kind = F.col("road_type")
+    listed = F.coalesce(kind.isin(*road_types), F.lit(False))
+    return features.groupBy(cell).agg(
+        *[length(kind == t).alias(f"len_{t.lower()}") for t in road_types],
+        length(~listed).alias("len_other"),
     )
 
 

@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 
 from crashgrade.functions.arithmetic import ratio
 from crashgrade.operators.ranks import cut_points, running_totals
-from crashgrade.operators.threshold import cut_of, f1_of
+from crashgrade.operators.threshold import cut_of, f1_of, flagged_counts, is_scored
 
 CHANCE_FACTOR = 1.25
 
 
 def confusion(pred: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """tp, fp, tn and fn per model."""
+    """tp, fp, tn and fn per model, and the rows without a prediction."""
     truth, guess = F.col("severe") == 1, F.col("predicted") == 1
     return pred.groupBy(*by).agg(
         F.count_if(truth & guess).alias("tp"),
         F.count_if(~truth & guess).alias("fp"),
         F.count_if(~truth & ~guess).alias("tn"),
         F.count_if(truth & ~guess).alias("fn"),
+        F.count_if(F.col("predicted").isNull()).alias("n_unscored"),
     )
 
 
@@ -66,7 +67,7 @@ def score_counts(
     whose number is in the column `copies`."""
     n = F.col(copies) if copies else F.lit(1)
     return (
-        scored.where(F.col("p").isNotNull())
+        scored.where(is_scored(F.col("p")))
         .groupBy(*by, "p")
         .agg(
             F.sum(F.col("severe") * n).alias("pos"),
@@ -97,24 +98,13 @@ def roc_auc(
 
 
 def _rates(scored: DataFrame, bins: int) -> DataFrame:
-    """Cumulated counts from the highest bin down; at most bins + 1 rows per model."""
-    slots = scored.groupBy("model", F.floor(F.col("p") * bins).cast("bigint").alias("bin")).agg(
-        F.sum("severe").alias("pos"), F.sum(1 - F.col("severe")).alias("neg")
-    )
-    from_top = Window.partitionBy("model").orderBy(F.desc("bin"))
-    whole = Window.partitionBy("model")
-    return slots.select(
-        "model",
-        "bin",
-        F.sum("pos").over(from_top).alias("tp"),
-        F.sum("neg").over(from_top).alias("fp"),
-        F.sum("pos").over(whole).alias("all_pos"),
-        F.sum("neg").over(whole).alias("all_neg"),
-    )
+    """Cumulated counts at every cut, from -1 (all flagged) to bins + 1 (none)."""
+    return flagged_counts(scored, bins, -1, bins + 1).withColumnRenamed("i", "bin")
 
 
 def roc_points(scored: DataFrame, bins: int = 100) -> DataFrame:
-    """False and true positive rate when everything from a bin up is flagged."""
+    """False and true positive rate when all scores from bin / bins up are
+    flagged; bins -1 and bins + 1 are the end points (1, 1) and (0, 0)."""
     return _rates(scored, bins).select(
         "model",
         "bin",
@@ -124,7 +114,7 @@ def roc_points(scored: DataFrame, bins: int = 100) -> DataFrame:
 
 
 def pr_points(scored: DataFrame, bins: int = 100) -> DataFrame:
-    """Precision and recall when everything from a bin up is flagged."""
+    """Precision (null if nothing is flagged) and recall at the same cuts."""
     return _rates(scored, bins).select(
         "model",
         "bin",

@@ -10,6 +10,7 @@ from crashgrade.functions.hashing import salted_hash
 
 # Thousandths of the rows: train, meta holdout, and the rest for the test.
 TRAIN, META = 595, 105
+PARTS = ("train", "meta", "test")
 
 
 def part_of(key: Column, salt: str = "split", train: int = TRAIN, meta: int = META) -> Column:
@@ -27,15 +28,20 @@ def split3(
 def split_audit(df: DataFrame, key: str, target: str = "severe") -> DataFrame:
     """Rows, share, severe share and keys per part, and the number of its keys
     that also occur in another part (which must be 0)."""
-    # Counts per key and part first: copies of one key collapse before the shuffle.
-    per_key = df.groupBy(key, "part").agg(
-        F.count("*").alias("n_rows"), F.sum(target).alias("n_severe")
-    )
-    spread = per_key.groupBy(key).agg(
-        F.collect_list(F.struct("part", "n_rows", "n_severe")).alias("parts")
-    )
+    # One shuffle, by key: counts per part, combined before it.
+    counts = [
+        F.struct(
+            F.lit(part).alias("part"),
+            F.count_if(F.col("part") == part).alias("n_rows"),
+            F.sum(F.when(F.col("part") == part, F.col(target)).otherwise(0)).alias("n_severe"),
+        )
+        for part in PARTS
+    ]
+    per_key = df.groupBy(key).agg(F.array(*counts).alias("parts"))
+    held = F.filter("parts", lambda p: p["n_rows"] > 0)
     per_part = (
-        spread.select((F.size("parts") > 1).alias("torn"), F.explode("parts").alias("p"))
+        per_key.select(held.alias("parts"))
+        .select((F.size("parts") > 1).alias("torn"), F.explode("parts").alias("p"))
         .groupBy(F.col("p.part").alias("part"))
         .agg(
             F.sum("p.n_rows").alias("n_rows"),

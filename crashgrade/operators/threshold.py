@@ -33,30 +33,58 @@ def f1_of(tp: Column, fp: Column, fn: Column) -> Column:
     return F.coalesce(ratio(2 * tp, 2 * tp + fp + fn), F.lit(0.0))
 
 
-def threshold_sweep(scored: DataFrame, steps: int = STEPS) -> DataFrame:
-    """One row per model and cut 0, 1/steps, ..., 1: counts, precision, recall, F1."""
-    slots = scored.groupBy("model", cut_index(F.col("p"), steps).alias("i")).agg(
+def is_scored(p: Column) -> Column:
+    """False for null and NaN, which are above no cut and below none."""
+    return p.isNotNull() & ~F.isnan(p.cast("double"))
+
+
+def flagged_counts(scored: DataFrame, steps: int, lowest: int, highest: int) -> DataFrame:
+    """model, i, all_pos, all_neg, tp, fp, n_unscored for the cuts i / steps with
+    i from `lowest` (at least -1, which flags all) to `highest`. Scores below 0
+    and above 1 count at the ends of the grid; rows without a score are in none
+    of the counts but n_unscored."""
+    p = F.col("p")
+    slot = F.greatest(F.lit(-1), F.least(F.lit(steps), cut_index(p, steps))).cast("bigint")
+    slot = F.when(p >= 1, F.lit(steps).cast("bigint")).when(p < 0, F.lit(-1).cast("bigint")).otherwise(slot)
+    slots = scored.groupBy("model", F.when(is_scored(p), slot).alias("i")).agg(
         F.sum("severe").alias("pos"), F.count("*").alias("n")
     )
-    # At most steps + 1 slots per model: small enough to meet in one map.
-    held = F.map_from_entries(F.collect_list(F.struct("i", F.struct("pos", "n"))))
-    every_cut = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(steps).cast("bigint")))
+    known = F.col("i").isNotNull()
+    # At most steps + 2 slots per model: small enough to meet in one map.
+    held = F.map_from_entries(F.collect_list(F.when(known, F.struct("i", F.struct("pos", "n")))))
+    whole = lambda c: F.coalesce(F.sum(F.when(known, F.col(c))), F.lit(0))
+    every_cut = F.explode(F.sequence(F.lit(-1).cast("bigint"), F.lit(highest).cast("bigint")))
     grid = (
         slots.groupBy("model")
-        .agg(F.sum("pos").alias("all_pos"), held.alias("held"))
-        .select("model", "all_pos", "held", every_cut.alias("i"))
+        .agg(
+            whole("pos").alias("all_pos"),
+            (whole("n") - whole("pos")).alias("all_neg"),
+            F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("n_unscored"),
+            held.alias("held"),
+        )
+        .select("model", "all_pos", "all_neg", "n_unscored", "held", every_cut.alias("i"))
         .withColumn("slot", F.try_element_at("held", F.col("i")))
     )
     from_top = Window.partitionBy("model").orderBy(F.desc("i"))
     flagged = grid.select(
         "model",
-        (F.col("i").cast("double") / steps).alias("threshold"),
+        "i",
         "all_pos",
+        "all_neg",
+        "n_unscored",
         F.sum(F.coalesce("slot.pos", F.lit(0))).over(from_top).alias("tp"),
         F.sum(F.coalesce("slot.n", F.lit(0))).over(from_top).alias("flagged"),
     )
-    counts = flagged.withColumn("fp", F.col("flagged") - F.col("tp")).withColumn(
-        "fn", F.col("all_pos") - F.col("tp")
+    return flagged.withColumn("fp", F.col("flagged") - F.col("tp")).where(F.col("i") >= lowest)
+
+
+def threshold_sweep(scored: DataFrame, steps: int = STEPS) -> DataFrame:
+    """One row per model and cut 0, 1/steps, ..., 1: counts, precision, recall,
+    F1, and the number of rows without a score."""
+    counts = (
+        flagged_counts(scored, steps, 0, steps)
+        .withColumn("threshold", F.col("i").cast("double") / steps)
+        .withColumn("fn", F.col("all_pos") - F.col("tp"))
     )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return counts.select(
@@ -68,6 +96,7 @@ def threshold_sweep(scored: DataFrame, steps: int = STEPS) -> DataFrame:
         F.coalesce(ratio(tp, tp + fp), F.lit(0.0)).alias("precision"),
         F.coalesce(ratio(tp, tp + fn), F.lit(0.0)).alias("recall"),
         f1_of(tp, fp, fn).alias("f1"),
+        "n_unscored",
     )
 
 
@@ -101,23 +130,24 @@ def apply_threshold(scored: DataFrame, thresholds: DataFrame | float) -> DataFra
     """Adds `predicted`, from one cut or from each model's own."""
     is_table = isinstance(thresholds, DataFrame)
     cut = cut_of(thresholds) if is_table else F.lit(float(thresholds))
-    return scored.withColumn("predicted", (F.col("p") >= cut).cast("int"))
+    return scored.withColumn(
+        "predicted", F.when(is_scored(F.col("p")), (F.col("p") >= cut).cast("int"))
+    )
+
 
+def threshold_gain(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """F1 at 0.5, at each model's given cut, and the gain in percentage points.
+    The cuts are to be tuned on other rows than `scored`."""
+    truth, p, cut = F.col("severe") == 1, F.col("p"), F.col("threshold")
+
+    def f1_at(c: Column) -> Column:
+        tp, fp, fn = (F.count_if(x) for x in (truth & (p >= c), ~truth & (p >= c), truth & (p < c)))
+        return f1_of(tp, fp, fn)
 
-def threshold_gain(scored: DataFrame, steps: int = STEPS) -> DataFrame:
-    """F1 at 0.5, at the best cut, and the gain in percentage points."""
-    if steps % 2:
-        raise ValueError("0.5 must be one of the cuts")
-    at_half = F.max(F.when(F.col("threshold") == 0.5, F.col("f1")))
     return (
-        threshold_sweep(scored, steps)
-        .groupBy("model")
-        .agg(_best().alias("best"), at_half.alias("f1_at_half"))
-        .select(
-            "model",
-            (-F.col("best.low_first")).alias("threshold"),
-            "f1_at_half",
-            F.col("best.f1").alias("f1_at_best"),
-            ((F.col("best.f1") - F.col("f1_at_half")) * 100.0).alias("gain_points"),
-        )
+        scored.where(is_scored(p))
+        .withColumn("threshold", cut_of(thresholds))
+        .groupBy("model", "threshold")
+        .agg(f1_at(F.lit(0.5)).alias("f1_at_half"), f1_at(cut).alias("f1_at_cut"))
+        .withColumn("gain_points", (F.col("f1_at_cut") - F.col("f1_at_half")) * 100.0)
     )

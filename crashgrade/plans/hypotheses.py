@@ -64,17 +64,28 @@ def country_rates(df: DataFrame) -> DataFrame:
 
 
 def country_controls(df: DataFrame, coefficients: DataFrame) -> DataFrame:
-    """Hypothesis 3: the country shifts severity. Its flag stays in the model as
-    a control; confirmed when it has a coefficient other than zero. The values
-    are the severe shares of country 1 and country 0."""
+    """Hypothesis 3: the country shifts severity. Confirmed when its flag was
+    kept as a control in the model and the severe shares of country 1 and
+    country 0, the values shown, differ by 1.96 standard errors or more of a
+    two-proportion test."""
+
+    def of(country: int, column: str) -> Column:
+        return F.max(F.when(F.col("country_flag") == country, F.col(column)))
+
     rates = country_rates(df).agg(
-        F.max(F.when(F.col("country_flag") == 1, F.col("severe_share"))).alias("us"),
-        F.max(F.when(F.col("country_flag") == 0, F.col("severe_share"))).alias("br"),
+        of(1, "severe_share").alias("us"),
+        of(0, "severe_share").alias("br"),
+        of(1, "n_rows").alias("n_us"),
+        of(0, "n_rows").alias("n_br"),
     )
+    us, br, n_us, n_br = (F.col(c) for c in ("us", "br", "n_us", "n_br"))
+    pooled = ratio(us * n_us + br * n_br, n_us + n_br)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / n_us + 1 / n_br))
+    differs = F.coalesce(F.abs(us - br) >= F.lit(1.96) * error, F.lit(False)) & (us != br)
     control = coefficients.agg(
         F.max(F.when(F.col("feature") == "country_flag", F.col("coefficient"))).alias("weight")
     ).first()["weight"]
-    held = F.lit(bool(control))
+    held = F.lit(control is not None) & F.coalesce(differs, F.lit(False))
     return _verdict(rates, 3, "country is a control with an effect of its own", F.col("us"),
                     F.col("br"), held)
 

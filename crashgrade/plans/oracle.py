@@ -202,7 +202,7 @@ FENCED = f", fences AS ({fences(OUTLIERS, 'joined')}), base AS ({inside(OUTLIERS
 
 # Every cut counted on its own, without running sums.
 SWEEP = """
-  SELECT model, threshold, tp, fp, fn,
+  SELECT model, threshold, tp, fp, fn, n_unscored,
          CASE WHEN tp + fp = 0 THEN 0e0 ELSE cast(tp AS double) / (tp + fp) END AS precision,
          CASE WHEN tp + fn = 0 THEN 0e0 ELSE cast(tp AS double) / (tp + fn) END AS recall,
          CASE WHEN 2 * tp + fp + fn = 0 THEN 0e0
@@ -210,7 +210,8 @@ SWEEP = """
   FROM (SELECT model, i / 100e0 AS threshold,
                count(*) FILTER (severe = 1 AND p >= i / 100e0) AS tp,
                count(*) FILTER (severe = 0 AND p >= i / 100e0) AS fp,
-               count(*) FILTER (severe = 1 AND p < i / 100e0) AS fn
+               count(*) FILTER (severe = 1 AND p < i / 100e0) AS fn,
+               count(*) FILTER (p IS NULL) AS n_unscored
         FROM {source}, range(0, 101) AS cuts(i) GROUP BY model, i)
 """
 
@@ -227,7 +228,8 @@ CONFUSION = """
   SELECT model, count(*) FILTER (severe = 1 AND p >= {cut}) AS tp,
          count(*) FILTER (severe = 0 AND p >= {cut}) AS fp,
          count(*) FILTER (severe = 0 AND p < {cut}) AS tn,
-         count(*) FILTER (severe = 1 AND p < {cut}) AS fn
+         count(*) FILTER (severe = 1 AND p < {cut}) AS fn,
+         count(*) FILTER (p IS NULL) AS n_unscored
   FROM {source} GROUP BY model
 """
 AT_HALF = CONFUSION.format(cut="0.5e0", source="rules")
@@ -245,12 +247,11 @@ AUC = """
 """
 
 POINTS = """
-  SELECT model, bin,
-         sum(pos) OVER high AS tp, sum(neg) OVER high AS fp,
-         sum(pos) OVER (PARTITION BY model) AS all_pos, sum(neg) OVER (PARTITION BY model) AS all_neg
-  FROM (SELECT model, cast(floor(p * 100e0) AS bigint) AS bin, sum(severe) AS pos,
-               sum(1 - severe) AS neg FROM rules GROUP BY ALL)
-  WINDOW high AS (PARTITION BY model ORDER BY bin DESC)
+  SELECT model, i AS bin,
+         count(*) FILTER (severe = 1 AND (i < 0 OR (i <= 100 AND p >= i / 100e0))) AS tp,
+         count(*) FILTER (severe = 0 AND (i < 0 OR (i <= 100 AND p >= i / 100e0))) AS fp,
+         sum(severe) AS all_pos, sum(1 - severe) AS all_neg
+  FROM rules, range(-1, 102) AS cuts(i) GROUP BY model, i
 """
 
 
@@ -413,7 +414,9 @@ def oracles() -> dict[str, str]:
     q["length_by_type"] = "SELECT cell_10, " + ", ".join(
         f"sum(CASE WHEN road_type = '{t}' THEN length_km ELSE 0e0 END) AS len_{t.lower()}"
         for t in ROAD_TYPES
-    ) + " FROM roads GROUP BY cell_10"
+    ) + ", sum(CASE WHEN road_type IN (" + ", ".join(f"'{t}'" for t in ROAD_TYPES) + (
+        ") THEN 0e0 ELSE length_km END) AS len_other FROM roads GROUP BY cell_10"
+    )
     q["dominant_type"] = DOMINANT
     q["surroundings"] = SURROUNDINGS
     q["cell_statistics"] = " UNION ALL ".join(
@@ -552,10 +555,16 @@ def oracles() -> dict[str, str]:
     q["tune_all"] = q["thresholds_roundtrip"]
     q["apply_threshold"] = """SELECT accident_id, severe, model, p,
         cast(p >= 0.3e0 AS bigint) AS predicted FROM rules WHERE model = 'rule'"""
-    q["threshold_gain"] = f"""SELECT model, threshold, half.f1 AS f1_at_half, best.f1 AS f1_at_best,
-        (best.f1 - half.f1) * 100e0 AS gain_points FROM ({best('rules')}) best
-        JOIN (SELECT model, cast(2 * tp AS double) / (2 * tp + fp + fn) AS f1 FROM ({AT_HALF})) half
-        USING (model)"""
+    test = "(SELECT * FROM rules WHERE part = 'test')"
+    cut = f"(SELECT r.*, threshold FROM {test} r JOIN ({q['tune_all']}) t USING (model))"
+    half, own = (
+        f"""SELECT model, threshold, cast(2 * count(*) FILTER (severe = 1 AND p >= {at}) AS double)
+              / (count(*) FILTER (severe = 1) + count(*) FILTER (p >= {at})) AS f1
+            FROM {cut} GROUP BY model, threshold"""
+        for at in ("0.5e0", "threshold")
+    )
+    q["threshold_gain"] = f"""SELECT model, own.threshold, half.f1 AS f1_at_half, own.f1 AS f1_at_cut,
+        (own.f1 - half.f1) * 100e0 AS gain_points FROM ({own}) own JOIN ({half}) half USING (model)"""
 
     # Evaluation
     q["confusion"] = AT_HALF
@@ -574,7 +583,7 @@ def oracles() -> dict[str, str]:
     q["roc_auc"] = AUC.format(source="rules")
     q["roc_points"] = f"""SELECT model, bin, cast(fp AS double) / all_neg AS false_positive_rate,
         cast(tp AS double) / all_pos AS true_positive_rate FROM ({POINTS})"""
-    q["pr_points"] = f"""SELECT model, bin, cast(tp AS double) / (tp + fp) AS precision,
+    q["pr_points"] = f"""SELECT model, bin, cast(tp AS double) / nullif(tp + fp, 0) AS precision,
         cast(tp AS double) / all_pos AS recall FROM ({POINTS})"""
     q["max_chance"] = """SELECT cast(max(n) AS double) / sum(n) AS max_chance
         FROM (SELECT count(*) AS n FROM accidents GROUP BY severe)"""

@@ -305,8 +305,9 @@ def remove_outliers(ws):
 
 @query
 def binarise_severity(ws):
-    codes = [c for s in readers.ACCIDENT_SOURCES.values() for c in s.severe_codes]
-    return clean.binarise_severity(ws.consolidated(), codes).select(KEY, "severity", "severe")
+    sources = readers.ACCIDENT_SOURCES.values()
+    severe, light = ([c for s in sources for c in getattr(s, k)] for k in ("severe_codes", "light_codes"))
+    return clean.binarise_severity(ws.consolidated(), severe, light).select(KEY, "severity", "severe")
 
 
 @query
@@ -580,7 +581,7 @@ def fit_boosted(ws):
 @query
 def fit_mlp(ws):
     """A network with a fixed number of iterations: its AUC per part."""
-    model = classifiers.fit_mlp(ws.train, len(ws.accepted), KEY, iterations=30)
+    model = classifiers.fit_mlp(ws.train, len(ws.accepted), KEY)
     unseen = ws.vectors().where(F.col("part") != "train")
     scored = classifiers.add_score(unseen, model, "p")
     return metrics.roc_auc(scored, ["part"])
@@ -640,6 +641,10 @@ def risk_hotspots_stack(ws):
 # Thresholds
 
 
+def tune_rules(ws: Workspace) -> DataFrame:
+    return threshold.tune_all(rule_scores(ws).where(F.col("part") == "meta"), RULES)
+
+
 @query
 def threshold_sweep(ws):
     return threshold.threshold_sweep(rules_long(ws))
@@ -653,7 +658,7 @@ def best_threshold(ws):
 @query
 def tune_all(ws):
     """Cuts of the rule scores, tuned on the meta holdout."""
-    return threshold.tune_all(rule_scores(ws).where(F.col("part") == "meta"), RULES)
+    return tune_rules(ws)
 
 
 @query
@@ -671,12 +676,13 @@ def apply_threshold(ws):
 
 @query
 def threshold_gain(ws):
-    return threshold.threshold_gain(rules_long(ws))
+    """Cuts from the meta holdout, F1 on the test rows."""
+    return threshold.threshold_gain(rules_long(ws, "test"), tune_rules(ws))
 
 
 @query
 def threshold_gain_models(ws):
-    return threshold.threshold_gain(ws.long_scores("test"))
+    return threshold.threshold_gain(ws.long_scores("test"), ws.thresholds())
 
 
 # Evaluation

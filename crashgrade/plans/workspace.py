@@ -23,7 +23,6 @@ from crashgrade.models import classifiers, discriminant, prepare
 from crashgrade.models.discriminant import Discriminant
 from crashgrade.models.stack import ALL_MODELS, BASE_MODELS, fit_stack, stack_scores
 from crashgrade.operators import clean, collinear, features, integrate, split, threshold
-from crashgrade.operators.joins import estimated_bytes
 from crashgrade.session import shared_folder
 from crashgrade.sources import derived, readers, sinks
 
@@ -47,13 +46,17 @@ def forget(spark: SparkSession, folder: str) -> None:
         ws.train.unpersist()
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Uses more cores, up to one per megabyte, for rows that are read many
-    times. A table large enough to fill the cores by itself is left as it lies,
-    without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    wanted = int(min(cores, estimated_bytes(df) // (1 << 20)))
-    return df.repartition(wanted, key) if wanted > df.rdd.getNumPartitions() else df
+# Forests draw their bags per partition, so the training rows lie in the same
+# number of partitions on every machine. Set `crashgrade.training.partitions`
+# for a table whose partitions would not fit into memory.
+TRAINING_PARTITIONS = 32
+
+
+def lay_out(df: DataFrame, key: str) -> DataFrame:
+    """The same rows in the same order in the same partitions, whatever the
+    files, cores or executors."""
+    n = int(df.sparkSession.conf.get("crashgrade.training.partitions", str(TRAINING_PARTITIONS)))
+    return df.repartition(n, key).sortWithinPartitions(key)
 
 
 class Workspace:
@@ -213,7 +216,7 @@ class Workspace:
     @cached_property
     def train(self) -> DataFrame:
         rows = self.vectors().where(F.col("part") == "train")
-        return spread(rows.select(KEY, "severe", "features"), KEY).persist()
+        return lay_out(rows.select(KEY, "severe", "features"), KEY).persist()
 
     @cached_property
     def early_stop(self) -> tuple[PipelineModel, list[tuple[int, int, float]]]:

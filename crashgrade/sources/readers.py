@@ -17,6 +17,7 @@ class AccidentSource:
     columns: dict[str, str]
     country_flag: int
     severe_codes: tuple[str, ...]
+    light_codes: tuple[str, ...]
 
 
 def _schema(**fields: T.DataType) -> T.StructType:
@@ -34,6 +35,7 @@ ACCIDENT_SOURCES = {
                  "lon": "longitude", "severity": "gravidade"},
         country_flag=0,
         severe_codes=("GRAVE", "FATAL"),
+        light_codes=("LEVE", "MODERADO"),
     ),
     "us": AccidentSource(
         schema=_schema(
@@ -44,6 +46,7 @@ ACCIDENT_SOURCES = {
                  "lon": "Start_Lng", "severity": "Severity"},
         country_flag=1,
         severe_codes=("3", "4"),
+        light_codes=("1", "2"),
     ),
 }
 

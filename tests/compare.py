@@ -49,7 +49,7 @@ def mismatch(df, con, sql: str) -> str | None:
     if len(rows) != len(want):
         return f"rows {len(rows)} / {len(want)}"
     bad = [(r, w) for r, w in zip(rows, want) if not all(same(x, y) for x, y in zip(r, w))]
-    kinds = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "HUGEINT": "bigint"}
+    kinds = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "HUGEINT": "bigint", "INTEGER": "int", "BOOLEAN": "boolean"}
     types = dict(df.dtypes)
     odd = [
         (c, types[c], str(t))

@@ -29,7 +29,7 @@ def test_sql(spark, con, name):
 def test_rows(spark, name):
     df = QUERIES[name](spark, SMALL)
     assert df.count() > 0
-    assert {t for _, t in df.dtypes} <= {"bigint", "double", "string"}
+    assert {t for _, t in df.dtypes} <= {"bigint", "double", "string", "int", "boolean"}
 
 
 def test_entry(spark):

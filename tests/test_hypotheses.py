@@ -79,3 +79,14 @@ def test_funnel_counts_each_step(spark):
     parts = spark.createDataFrame([("train",), ("train",), ("test",)], "part string")
     got = {r["step"]: r["n_rows"] for r in clean.row_funnel(raw, raw.where("id < 3"), parts).collect()}
     assert got == {"raw": 10, "clean": 3, "train": 2, "test": 1}
+
+
+def test_country_needs_a_difference(spark):
+    weights = spark.createDataFrame([("country_flag", 0.3)], "feature string, coefficient double")
+
+    def verdict(severe_of_us):
+        rows = [(1, int(i < severe_of_us)) for i in range(100)] + [(0, int(i < 20)) for i in range(100)]
+        df = spark.createDataFrame(rows, "country_flag int, severe int")
+        return h.country_controls(df, weights).first()["confirmed"]
+
+    assert (verdict(20), verdict(21), verdict(60)) == (0, 0, 1)

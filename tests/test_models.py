@@ -32,7 +32,20 @@ def test_auc_agrees_with_the_built_in_evaluator(ws):
 def test_tuned_cut_is_no_worse_than_half_on_its_own_rows(ws):
     from crashgrade.operators.threshold import threshold_gain
 
-    assert all(r["gain_points"] >= 0 for r in threshold_gain(ws.long_scores("meta")).collect())
+    got = threshold_gain(ws.long_scores("meta"), ws.thresholds()).collect()
+    assert len(got) == 6 and all(r["gain_points"] >= 0 for r in got)
+
+
+def test_training_rows_lie_the_same_however_they_arrive(spark):
+    from crashgrade.plans.workspace import lay_out
+
+    df = spark.range(500)
+
+    def placed(n):
+        rows = lay_out(df.repartition(n), "id")
+        return rows.selectExpr("id", "spark_partition_id() AS p").collect()
+
+    assert placed(1) == placed(8)
 
 
 def test_lda_matches_the_textbook_formula(ws):

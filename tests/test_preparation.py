@@ -180,3 +180,20 @@ def test_cell_statistics_equal_the_single_operators(ws):
     single = integrate.infra_by_cell(road, "cell_10", derived.BRIDGE_TYPE)
     got = ws.cell_statistics(10, *[c for c in single.columns if c != "cell_10"])
     assert single.select(sorted(single.columns)).exceptAll(got.select(sorted(got.columns))).count() == 0
+
+
+def test_lengths_by_type_add_up_to_the_road(spark):
+    from crashgrade.operators import integrate
+
+    rows = [("c", "PROMO", 2.0), ("c", "GRAVEL", 5.0), ("c", None, 1.0), ("d", "PROMO", 3.0)]
+    df = spark.createDataFrame(rows, "cell string, road_type string, length_km double")
+    got = {r["cell"]: r for r in integrate.length_by_type(df, "cell", ["PROMO", "ECONOMY"]).collect()}
+    assert tuple(got["c"])[1:] == (2.0, 0.0, 6.0) and tuple(got["d"])[1:] == (3.0, 0.0, 0.0)
+
+
+def test_unknown_severity_is_null(spark):
+    from crashgrade.operators import clean
+
+    df = spark.createDataFrame([("3",), ("1",), ("9",), (None,)], "severity string")
+    got = [r["severe"] for r in clean.binarise_severity(df, ["3", "4"], ["1", "2"]).collect()]
+    assert got == [1, 0, None, None]

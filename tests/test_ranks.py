@@ -110,7 +110,29 @@ def test_best_cut_ties_go_low_and_gain_is_not_negative(spark):
     df = scored(spark, [(1, 0.8), (0, 0.2)])
     best = threshold.best_threshold(threshold.threshold_sweep(df)).first()
     assert (best["threshold"], best["f1"]) == (0.21, 1.0)
-    assert threshold.threshold_gain(df).first()["gain_points"] >= 0
+    cuts = threshold.best_threshold(threshold.threshold_sweep(df))
+    assert threshold.threshold_gain(df, cuts).first()["gain_points"] >= 0
+
+
+def test_scores_off_the_grid_null_and_nan_are_all_counted(spark):
+    rows = [(1, -0.1), (1, 1.0), (1, 1.5), (0, 0.29), (1, None), (0, float("nan"))]
+    df = spark.createDataFrame([("m", *r) for r in rows], "model string, severe long, p double")
+    sweep = {r["threshold"]: r for r in threshold.threshold_sweep(df).collect()}
+    assert len(sweep) == 101 and {r["n_unscored"] for r in sweep.values()} == {2}
+    assert (sweep[0.0]["tp"], sweep[0.0]["fp"], sweep[0.0]["fn"]) == (2, 1, 1)
+    assert (sweep[0.29]["fp"], sweep[0.3]["fp"], sweep[1.0]["tp"]) == (1, 0, 2)
+    assert metrics.roc_auc(df).first()["auc"] == metrics.roc_auc(df.where("p < 2")).first()["auc"]
+    conf = metrics.confusion(threshold.apply_threshold(df, 0.5)).first()
+    assert (conf["tp"], conf["fp"], conf["tn"], conf["fn"], conf["n_unscored"]) == (2, 0, 1, 1, 2)
+
+
+def test_points_agree_with_the_sweep_and_have_both_ends(spark):
+    df = scored(spark, [(int(i % 3 == 0), i / 100.0) for i in range(101)])
+    sweep = {round(r["threshold"] * 100): r["recall"] for r in threshold.threshold_sweep(df).collect()}
+    roc = {r["bin"]: r for r in metrics.roc_points(df).collect()}
+    assert all(roc[i]["true_positive_rate"] == sweep[i] for i in range(101))
+    ends = [(roc[i]["false_positive_rate"], roc[i]["true_positive_rate"]) for i in (-1, 101)]
+    assert ends == [(1.0, 1.0), (0.0, 0.0)]
 
 
 def test_each_model_gets_its_own_cut(spark):
