@@ -85,7 +85,7 @@ def country_controls(df: DataFrame, coefficients: DataFrame) -> DataFrame:
     control = coefficients.agg(
         F.max(F.when(F.col("feature") == "country_flag", F.col("coefficient"))).alias("weight")
     ).first()["weight"]
-    held = F.lit(control is not None) & F.coalesce(differs, F.lit(False))
+    held = F.lit(bool(control)) & F.coalesce(differs, F.lit(False))
     return _verdict(rates, 3, "country is a control with an effect of its own", F.col("us"),
                     F.col("br"), held)
 

@@ -43,7 +43,7 @@ def test_interactions(spark):
 
 @pytest.mark.parametrize("weight, held", [(0.4, 1), (0.0, 0), (None, 0)])
 def test_country(spark, weight, held):
-    rows = spark.createDataFrame([(1, 1), (1, 0), (0, 0)], "country_flag int, severe int")
+    rows = spark.createDataFrame([(1, 1), (1, 0), (0, 0)] * 50, "country_flag int, severe int")
     names = [("country_flag", weight)] if weight is not None else [("precip", 1.0)]
     table = spark.createDataFrame(names, "feature string, coefficient double")
     assert verdict(h.country_controls(rows, table)) == (0.5, 0.0, held)
