@@ -312,29 +312,38 @@ def hash_of(part: bytes) -> int:
 
 def _by_window(large: DataFrame) -> DataFrame:
     """The way for groups that are too large for one task: each window by
-    itself, counted by digest, which combines before the shuffle."""
+    itself, counted by digest, which combines before the shuffle. A segment found
+    at two places stands for all of them: it makes its windows repeated, and its
+    own spans are known already."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            t, start, segment = (batch.column(i).to_pylist() for i in range(3))
+            t, start, twice, segment = (batch.column(i).to_pylist() for i in range(4))
             rows = [
-                (x, s + i, xxhash.xxh3_128_digest(part[i : i + LENGTH]))
-                for x, s, part in zip(t, start, segment, strict=True)
+                (x, s + i, w, xxhash.xxh3_128_digest(part[i : i + LENGTH]))
+                for x, s, w, part in zip(t, start, twice, segment, strict=True)
                 for i in range(len(part) - LENGTH + 1)
             ]
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            types = (pa.binary(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())],
-                ["t", "start", "digest"],
+                [pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["t", "start", "twice", "digest"]
             )
 
     each = stored(
-        large.select("t", "start", "segment").mapInArrow(windows, "t binary, start long, digest binary"), "windows"
+        large.select("t", "start", "twice", "segment").mapInArrow(
+            windows, "t binary, start long, twice boolean, digest binary"
+        ),
+        "windows",
+    )
+    repeated = (
+        each.groupBy("digest")
+        .agg((_twice(F.xxhash64("t", "start")) | F.max("twice")).alias("repeated"))
+        .where("repeated")
     )
-    repeated = each.groupBy("digest").agg(_twice(F.xxhash64("t", "start")).alias("twice")).where("twice")
-    return each.join(repeated.select("digest"), "digest").select(
+    return each.where(~F.col("twice")).join(repeated.select("digest"), "digest").select(
         "t", "start", (F.col("start") + LENGTH).alias("end")
     )
 
