@@ -14,7 +14,7 @@ from crashgrade.operators.joins import join_dimension
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
 BLOCK_WORDS = 8
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 250_000
 SEED = 20
 
 
