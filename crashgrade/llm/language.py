@@ -16,6 +16,7 @@ from crashgrade.llm.common import learn_bucket, mix
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
 PER_LANGUAGE = 600
+SALTS = 64
 MOST_SAMPLED = 6000
 UNKNOWN = "und"
 LEAST_SCORE = 0.5
@@ -177,8 +178,12 @@ def fit_languages(
     found, n = document_frequencies(usable, "text")
     idf = np.log((1.0 + n) / (1.0 + found)) + 1.0
     by_hash = [F.xxhash64("id", F.lit(7)), F.col("id")]
+    first = F.row_number().over(W.partitionBy("lang", "salt").orderBy(*by_hash))
     chosen = (
-        usable.select("id", "lang")
+        usable.select("id", "lang", F.pmod(F.xxhash64("id", F.lit(8)), F.lit(SALTS)).alias("salt"))
+        .withColumn("place", first)
+        .where(F.col("place") <= per_language)
+        # A language has at most `SALTS` times `per_language` rows from here on.
         .withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(*by_hash)))
         .where(F.col("place") <= per_language)
         .orderBy("place", *by_hash)
