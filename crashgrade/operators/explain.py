@@ -15,7 +15,7 @@ from crashgrade.functions.hashing import salted_hash
 from crashgrade.operators.metrics import roc_auc
 from crashgrade.session import shared_folder
 
-ROWS_PER_BUCKET = 200_000
+ROWS_PER_RANGE = 200_000
 BASELINE = "(none)"
 
 
@@ -40,32 +40,36 @@ def group_importance(importance: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def shuffle_columns(
-    df: DataFrame, cols: Sequence[str], key: str, buckets: int, salt: str = "perm"
+    df: DataFrame, cols: Sequence[str], row_id: str, ranges: int, salt: str = "perm"
 ) -> DataFrame:
-    """Adds `<col>_other`, the value of another row, as a permutation, and
-    `copies`, the number of rows that a row of the result stands for.
-
-    Rows fall into hash buckets of `key`, and within a bucket each row takes
-    the values of the next one in hash order; the last takes the first. All
-    columns move together in one sort. Copies of a row follow one another, so
-    all but the last would take their own values: they are counted instead,
-    which keeps the buckets even however often a row is repeated.
+    """Adds `<col>_other`, the value of another row, as a permutation.
+
+    Rows stand in a ring by the hash of `row_id`, which must tell copies of a
+    row apart, so that they scatter; each row takes the values of the next one,
+    all columns in one sort. The ring is cut into contiguous ranges of the hash,
+    and the last row of a range takes the first of the next, so the result is
+    the same for any number of ranges.
     """
-    place = salted_hash(salt, F.col(key))
-    distinct = df.groupBy(*df.columns).agg(F.count("*").alias("n_rows"))
-    rows = distinct.withColumn("perm_bucket", place % buckets).withColumn("perm_place", place)
-    ring = Window.partitionBy("perm_bucket").orderBy("perm_place", *df.columns)
+    place = salted_hash(salt, F.coalesce(F.col(row_id).cast("string"), F.lit("")))
+    rows = df.withColumn("perm_place", place).withColumn(
+        "perm_range", F.shiftright(F.col("perm_place") * ranges, 32)
+    )
+    rest = [c for c in df.columns if c != row_id]
     own = F.struct(*[F.col(c).alias(f"{c}_other") for c in cols])
-    first = F.first(own).over(ring.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    moved = rows.withColumn("next", F.coalesce(F.lead(own).over(ring), first))
-    takes = F.array(
-        F.struct((F.col("n_rows") - 1).alias("copies"), own.alias("other")),
-        F.struct(F.lit(1).cast("bigint").alias("copies"), F.col("next").alias("other")),
+    at = F.struct("perm_place", row_id, *rest)
+    ring = Window.partitionBy("perm_range").orderBy("perm_place", row_id, *rest)
+    # One row per range.
+    firsts = rows.groupBy("perm_range").agg(F.min_by(own, at).alias("head"))
+    around = Window.partitionBy().orderBy("perm_range")
+    whole = around.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heads = firsts.select(
+        "perm_range", F.coalesce(F.lead("head").over(around), F.first("head").over(whole)).alias("head")
     )
     return (
-        moved.select(*df.columns, F.inline(takes))
-        .where("copies > 0")
-        .select(*df.columns, "other.*", "copies")
+        rows.withColumn("next", F.lead(own).over(ring))
+        .join(heads, "perm_range")
+        .withColumn("other", F.coalesce("next", "head"))
+        .select(*df.columns, "other.*")
     )
 
 
@@ -73,8 +77,8 @@ def permutation_importance(
     df: DataFrame,
     cols: Sequence[str],
     score: Callable[[DataFrame], DataFrame],
-    key: str,
-    buckets: int | None = None,
+    row_id: str,
+    ranges: int | None = None,
     target: str = "severe",
 ) -> DataFrame:
     """AUC lost when one column is shuffled: feature, auc, auc_loss.
@@ -85,15 +89,15 @@ def permutation_importance(
     reads them twice.
     """
     shared_folder(df.sparkSession)
-    if buckets is None:
-        buckets = max(1, -(-df.count() // ROWS_PER_BUCKET))
+    if ranges is None:
+        ranges = max(1, -(-df.count() // ROWS_PER_RANGE))
     variants = F.explode(F.array(*[F.lit(c) for c in [BASELINE, *cols]]))
-    shuffled = shuffle_columns(df, cols, key, buckets).withColumn("feature", variants)
+    shuffled = shuffle_columns(df, cols, row_id, ranges).withColumn("feature", variants)
     swapped = shuffled.withColumns(
         {c: F.when(F.col("feature") == c, F.col(f"{c}_other")).otherwise(F.col(c)) for c in cols}
     ).drop(*[f"{c}_other" for c in cols])
-    scored = score(swapped).select("feature", F.col(target).alias("severe"), "p", "copies")
-    aucs = roc_auc(scored.checkpoint(), ["feature"], "copies")
+    scored = score(swapped).select("feature", F.col(target).alias("severe"), "p")
+    aucs = roc_auc(scored.checkpoint(), ["feature"])
     # One row per column reaches this window.
     base = F.max(F.when(F.col("feature") == BASELINE, F.col("auc"))).over(Window.partitionBy())
     return aucs.select("feature", "auc", (base - F.col("auc")).alias("auc_loss"))

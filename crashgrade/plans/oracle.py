@@ -372,7 +372,7 @@ RING = f"""
   SELECT *, {', '.join(
       f"coalesce(lead({c}) OVER ring, first_value({c}) OVER ring) AS {c}_other" for c in SHAP)}
   FROM (SELECT *, {h('perm', 'accident_id')} AS place FROM accidents)
-  WINDOW ring AS (PARTITION BY place % 16 ORDER BY place, accident_id)
+  WINDOW ring AS (ORDER BY place, accident_id)
 ), variants AS (
   SELECT '(none)' AS model, severe, {planted()} AS p FROM ringed
   {' '.join(f"UNION ALL SELECT '{c}', severe, {planted(**{c: c + '_other'})} FROM ringed" for c in SHAP)}

@@ -825,7 +825,7 @@ def permutation_importance(ws):
         return df.withColumn("p", planted.cast("double"))
 
     df = ws.accidents().select(KEY, "road_type", "severe", *PERMUTED)
-    return explain.permutation_importance(df, PERMUTED, rule, KEY, buckets=16)
+    return explain.permutation_importance(df, PERMUTED, rule, KEY)
 
 
 @query
@@ -835,12 +835,12 @@ def permutation_importance_boosted(ws):
     cols = ws.feature_names
 
     def boosted(df: DataFrame) -> DataFrame:
-        vectors = prepare.prepare(ws.preparation, df, cols, ["feature", "severe", "copies"])
+        vectors = prepare.prepare(ws.preparation, df, cols, ["feature", "severe"])
         return classifiers.add_score(vectors, model, "p")
 
-    test = ws.base().where(F.col("part") == "test").select(KEY, "severe", *cols)
+    test = ws.base().where(F.col("part") == "test").select("row_id", "severe", *cols)
     return explain.permutation_importance(
-        prepare.as_doubles(test, cols), cols, boosted, KEY
+        prepare.as_doubles(test, cols), cols, boosted, "row_id"
     )
 
 
