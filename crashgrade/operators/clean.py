@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crashgrade.functions.arithmetic import ratio
 from crashgrade.operators.ranks import exact_quantiles
+from crashgrade.operators.reshape import per_column
 
 # Columns that would let a model memorise places or dates.
 LEAKY = ("lat", "lon", "cell_9", "cell_10", "cell_11", "accident_ts", "obs_ts")
@@ -22,13 +23,8 @@ def outlier_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, exact: bo
     if exact:
         quartiles = exact_quantiles(df, cols, {"q1": 0.25, "q3": 0.75})
     else:
-        quartiles = (
-            df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-            .unpivot([], list(cols), "feature", "value")
-            .groupBy("feature")
-            .agg(F.percentile_approx("value", [0.25, 0.75], 10000).alias("q"))
-            .select("feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
-        )
+        sketched = per_column(df, cols, {"q": lambda v: F.percentile_approx(v, [0.25, 0.75], 10000)})
+        quartiles = sketched.select("feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     spread = F.lit(float(k)) * (F.col("q3") - F.col("q1"))
     return quartiles.select(
         "feature", (F.col("q1") - spread).alias("lower"), (F.col("q3") + spread).alias("upper")
@@ -99,17 +95,10 @@ def profile(df: DataFrame, cols: Sequence[str], target: str = "severe") -> DataF
     both = values.withColumn(
         "class", F.explode(F.array(F.lit("all"), F.col(target)))
     ).drop(target)
-    moments = (
-        both.unpivot(["class"], list(cols), "feature", "value")
-        .groupBy("class", "feature")
-        .agg(
-            F.count("value").alias("n"),
-            F.avg("value").alias("mean"),
-            F.stddev_pop("value").alias("deviation"),
-            F.min("value").alias("lowest"),
-            F.max("value").alias("highest"),
-        )
-    )
+    statistics = {
+        "n": F.count, "mean": F.avg, "deviation": F.stddev_pop, "lowest": F.min, "highest": F.max,
+    }
+    moments = per_column(both, cols, statistics, ["class"])
     quartiles = exact_quantiles(both, cols, {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["class"])
     return moments.join(quartiles, ["class", "feature"], "left")
 

@@ -10,23 +10,16 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crashgrade.operators.reshape import per_column
+
 MAX_VIF = 10.0
 
 
 def _survey(df: DataFrame, cols: Sequence[str]) -> tuple[list[str], dict[str, float]]:
     """The columns with more than one value, and the mean of each of them."""
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    found = {
-        row["feature"]: row
-        for row in values.unpivot([], list(cols), "feature", "value")
-        .groupBy("feature")
-        .agg(
-            (F.min("value") < F.max("value")).alias("varies"),
-            F.avg("value").alias("mean"),
-        )
-        .collect()
-    }
-    varying = [c for c in cols if c in found and found[c]["varies"]]
+    surveyed = per_column(df, cols, {"varies": lambda v: F.min(v) < F.max(v), "mean": F.avg})
+    found = {row["feature"]: row for row in surveyed.collect()}
+    varying = [c for c in cols if found[c]["varies"]]
     return varying, {c: found[c]["mean"] for c in varying}
 
 

@@ -7,12 +7,13 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crashgrade.functions.arithmetic import ratio
 from crashgrade.functions.hashing import salted_hash
 from crashgrade.operators.metrics import roc_auc
+from crashgrade.operators.reshape import per_column
 from crashgrade.session import shared_folder
 
 ROWS_PER_RANGE = 200_000
@@ -118,11 +119,7 @@ def linear_shap(df: DataFrame, coefficients: dict[str, float], key: str) -> Data
 
 def shap_summary(contributions: DataFrame, names: Sequence[str], key: str) -> DataFrame:
     """Mean absolute contribution per column."""
-    return (
-        contributions.unpivot([key], list(names), "feature", "contribution")
-        .groupBy("feature")
-        .agg(F.avg(F.abs("contribution")).alias("mean_abs"))
-    )
+    return per_column(contributions, names, {"mean_abs": lambda v: F.avg(F.abs(v))})
 
 
 def effect_direction(
@@ -131,21 +128,18 @@ def effect_direction(
 ) -> DataFrame:
     """Severe share with and without each 0/1 flag, and the sign of the gap;
     also the sign of its coefficient where one is given."""
-    on, severe = F.col("value") == 1, F.col(target) == 1
-    rates = (
-        df.select(target, *[F.col(c).cast("int").alias(c) for c in flags])
-        .unpivot([target], list(flags), "feature", "value")
-        .groupBy("feature")
-        .agg(
-            ratio(F.count_if(on & severe), F.count_if(on)).alias("share_with"),
-            ratio(F.count_if(~on & severe), F.count_if(~on)).alias("share_without"),
-        )
-        .withColumn(
-            "direction",
-            F.when(F.col("share_with") > F.col("share_without"), "raises")
-            .when(F.col("share_with") < F.col("share_without"), "lowers")
-            .otherwise("neutral"),
-        )
+    severe = F.col(target) == 1
+
+    def share(where: Column) -> Column:
+        return ratio(F.count_if(where & severe), F.count_if(where))
+
+    rates = per_column(
+        df, flags, {"share_with": lambda v: share(v == 1), "share_without": lambda v: share(v != 1)}
+    ).withColumn(
+        "direction",
+        F.when(F.col("share_with") > F.col("share_without"), "raises")
+        .when(F.col("share_with") < F.col("share_without"), "lowers")
+        .otherwise("neutral"),
     )
     if coefficients is None:
         return rates

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crashgrade.functions import interactions, temporal
+from crashgrade.operators.reshape import per_column
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,7 @@ REGISTRY = [
     *_group(
         "hex", "road_error", "road_purchase", "road_signup", "road_view",
         "dominant_large", "dominant_medium", "dominant_promo", "dominant_small",
-        "dominant_standard", scaled=False,
+        "dominant_standard", "dominant_other", "road_other", scaled=False,
     ),
     *_group("time", "hour", "weekday", "month"),
     *_group("time", "rush_hour", scaled=False),
@@ -96,23 +97,20 @@ def interaction_features(df: DataFrame) -> DataFrame:
 
 
 def one_hot(df: DataFrame, column: str, levels: Sequence[str], prefix: str) -> DataFrame:
-    """A 0/1 column per level. A level outside the list gives 0 everywhere."""
+    """A 0/1 column per level, and `<prefix>other` for a missing value or any
+    other level, so that exactly one of them is 1 and neither is mistaken for
+    a level left out of a model as its baseline."""
+    flags = {level: F.coalesce((F.col(column) == level).cast("int"), F.lit(0)) for level in levels}
+    listed = F.coalesce(F.col(column).isin(*levels), F.lit(False))
     return df.withColumns(
-        {
-            f"{prefix}{level.lower()}": F.coalesce((F.col(column) == level).cast("int"), F.lit(0))
-            for level in levels
-        }
+        {f"{prefix}{level.lower()}": flag for level, flag in flags.items()}
+        | {f"{prefix}other": (~listed).cast("int")}
     )
 
 
 def fit_scaler(train: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean and population deviation per column: feature, mean, deviation."""
-    values = train.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    return (
-        values.unpivot([], list(cols), "feature", "value")
-        .groupBy("feature")
-        .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
-    )
+    return per_column(train, cols, {"mean": F.avg, "deviation": F.stddev_pop})
 
 
 def apply_scaler(df: DataFrame, stats: DataFrame) -> DataFrame:

@@ -25,7 +25,10 @@ def country_flag(df: DataFrame, value: int) -> DataFrame:
 
 
 def with_cells(
-    df: DataFrame, base_edge_m: float, standard_lat: float, resolutions: Sequence[int] = RESOLUTIONS
+    df: DataFrame,
+    base_edge_m: float,
+    standard_lat: float | tuple[float, float],
+    resolutions: Sequence[int] = RESOLUTIONS,
 ) -> DataFrame:
     """Adds `cell_<resolution>` for each resolution."""
     return df.withColumns(

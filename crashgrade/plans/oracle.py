@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import math
 
-from crashgrade.functions.hexgrid import EARTH_RADIUS_M, edge_length
-from crashgrade.sources.derived import ACCIDENT_ROADS, BASE_EDGE_M, ROAD_TYPES, STANDARD_LAT
+from crashgrade.functions.hexgrid import BORDER_LAT, EARTH_RADIUS_M, edge_length
+from crashgrade.sources.derived import ACCIDENT_ROADS, BASE_EDGE_M, ROAD_TYPES, STANDARD_LATS
 
 
 def num(x: float) -> str:
@@ -24,9 +24,10 @@ def h(salt: str, key: str) -> str:
 def cell(res: int) -> str:
     """Cell id of lat, lon; q, r and s are repaired by the largest error."""
     edge = num(edge_length(res, BASE_EDGE_M))
-    stretch = math.cos(math.radians(STANDARD_LAT))
-    x = f"(radians(lon) * {num(EARTH_RADIUS_M * stretch)})"
-    y = f"(sin(radians(lat)) * {num(EARTH_RADIUS_M / stretch)})"
+    south, north = (math.cos(math.radians(at)) for at in STANDARD_LATS)
+    side = f"CASE WHEN lat >= {num(BORDER_LAT)} THEN {{}} ELSE {{}} END"
+    x = f"(radians(lon) * {side.format(num(EARTH_RADIUS_M * north), num(EARTH_RADIUS_M * south))})"
+    y = f"(sin(radians(lat)) * {side.format(num(EARTH_RADIUS_M / north), num(EARTH_RADIUS_M / south))})"
     q = f"(({x} * {num(math.sqrt(3.0) / 3.0)} - {y} * {num(1.0 / 3.0)}) / {edge})"
     r = f"(({y} * {num(2.0 / 3.0)}) / {edge})"
     s = f"(-{q} - {r})"
@@ -40,7 +41,7 @@ def cell(res: int) -> str:
     )
     return (
         f"((cast({cell_q} AS bigint) + 1073741824) * 2147483648 "
-        f"+ (cast({cell_r} AS bigint) + 1073741824))"
+        f"+ (cast({cell_r} AS bigint) + 1073741824) + {side.format(1 << 62, 0)})"
     )
 
 
@@ -151,8 +152,14 @@ def flag(column: str, level: str, name: str) -> str:
     return f"cast(coalesce({column} = '{level}', false) AS bigint) AS {name}"
 
 
+def other(column: str, levels: tuple[str, ...], name: str) -> str:
+    names = ", ".join(f"'{level}'" for level in levels)
+    return f"cast(NOT coalesce({column} IN ({names}), false) AS bigint) AS {name}"
+
+
 ROAD_FLAGS = ", ".join(flag("road_type", r, f"road_{r}") for r in ACCIDENT_ROADS[1:])
 TYPE_FLAGS = ", ".join(flag("dominant", t, f"dominant_{t.lower()}") for t in ROAD_TYPES[1:])
+OTHERS = f"{other('road_type', ACCIDENT_ROADS, 'road_other')}, {other('dominant', ROAD_TYPES, 'dominant_other')}"
 
 JOINED = f"""
 , joined AS (
@@ -164,7 +171,7 @@ JOINED = f"""
          coalesce(c11.road_len, 0e0) AS hex11_road_len,
          coalesce(c9.n_curves, 0) AS hex9_n_curves,
          coalesce(c10.bridge_len, 0e0) AS hex10_bridge_len,
-         {ROAD_FLAGS}, {TYPE_FLAGS},
+         {ROAD_FLAGS}, {TYPE_FLAGS}, {OTHERS},
          hour(accident_ts) AS hour, isodow(accident_ts) - 1 AS weekday,
          month(accident_ts) AS month, rush_hour, rain_x_curves,
          temp_c * (cast(o.n_curves AS double) / o.road_len) AS temp_x_curvature,
@@ -480,7 +487,8 @@ def oracles() -> dict[str, str]:
     q["road_group_features"] = """SELECT accident_id, mean_speed, lanes, n_segments, road_len,
         n_curves, n_bridges, n_tunnels, n_signals, bridge_len FROM accidents"""
     q["one_hot"] = "SELECT accident_id, " + ", ".join(
-        flag("road_type", r, f"is_{r}") for r in ACCIDENT_ROADS) + " FROM accidents"
+        flag("road_type", r, f"is_{r}") for r in ACCIDENT_ROADS
+    ) + ", " + other("road_type", ACCIDENT_ROADS, "is_other") + " FROM accidents"
     q["fit_scaler"] = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, "
         f"round(stddev_pop({c}), 6) AS deviation FROM accidents WHERE part = 'train'"

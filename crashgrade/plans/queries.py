@@ -421,7 +421,7 @@ def road_group_features(ws):
 @query
 def one_hot(ws):
     df = features.one_hot(ws.accidents(), "road_type", derived.ACCIDENT_ROADS, "is_")
-    return df.select(KEY, *[f"is_{r}" for r in derived.ACCIDENT_ROADS])
+    return df.select(KEY, *[f"is_{r}" for r in derived.ACCIDENT_ROADS], "is_other")
 
 
 SCALED = ["precip", "bridge_len", "mean_speed"]

@@ -9,6 +9,7 @@ application and one input folder, and sees the input as it was at first use.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 from multiprocessing.pool import ThreadPool
@@ -64,7 +65,8 @@ class Workspace:
         self.spark = spark
         self.folder = folder
         digest = hashlib.md5(folder.encode()).hexdigest()[:12]
-        self.root = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{digest}"
+        # A folder of its own, so that a later workspace leaves these files alone.
+        self.root = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{digest}-{uuid.uuid4().hex[:8]}"
         self._written: set[str] = set()
 
     def path(self, name: str) -> str:
@@ -87,8 +89,13 @@ class Workspace:
             self._written.add(name)
         return path
 
-    def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        return self.spark.read.parquet(self.stored(name, build))
+    def table(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+        """A table in Parquet; with `by`, a folder per value, so that a filter on
+        it reads those rows only."""
+        if by is None:
+            return self.spark.read.parquet(self.stored(name, build))
+        path = self.stored_folder(name, lambda to: build().write.partitionBy(by).parquet(to))
+        return self.spark.read.parquet(path)
 
     # Sources
 
@@ -128,7 +135,7 @@ class Workspace:
     # Road statistics per hex cell
 
     def with_cells(self, df: DataFrame) -> DataFrame:
-        return integrate.with_cells(df, derived.BASE_EDGE_M, derived.STANDARD_LAT)
+        return integrate.with_cells(df, derived.BASE_EDGE_M, derived.STANDARD_LATS)
 
     def cell_statistics(self, res: int, *names: str) -> DataFrame:
         """Statistics `names` of the cells of one resolution."""
@@ -137,6 +144,7 @@ class Workspace:
             lambda: integrate.cell_statistics(
                 self.with_cells(self.road()), RESOLUTIONS, derived.BRIDGE_TYPE
             ),
+            by="res",
         )
         return cells.where(F.col("res") == res).select(F.col("cell").alias(f"cell_{res}"), *names)
 
@@ -162,7 +170,7 @@ class Workspace:
             df = features.one_hot(df, "hex10_dominant", derived.ROAD_TYPES, "dominant_")
             return split.split3(df.withColumnRenamed("hex9_urban", "urban"), KEY)
 
-        return self.table("joined", build)
+        return self.table("joined", build, by="part")
 
     @cached_property
     def bounds(self) -> DataFrame:
@@ -211,6 +219,7 @@ class Workspace:
                 self.preparation, self.base(), self.feature_names,
                 [KEY, "part", "severe", "cell_9", "hour"],
             ),
+            by="part",
         )
 
     @cached_property
@@ -255,7 +264,7 @@ class Workspace:
             unseen = self.vectors().where(F.col("part") != "train")
             return classifiers.base_scores(self.models(), unseen).drop("features")
 
-        return self.table("base_scores", build)
+        return self.table("base_scores", build, by="part")
 
     @cached_property
     def stack(self) -> PipelineModel:
@@ -263,7 +272,7 @@ class Workspace:
 
     def scores(self) -> DataFrame:
         """Scores of all six models for the meta and test rows."""
-        return self.table("scores", lambda: stack_scores(self.stack, self.base_scores()))
+        return self.table("scores", lambda: stack_scores(self.stack, self.base_scores()), by="part")
 
     def thresholds(self) -> DataFrame:
         def build() -> DataFrame:

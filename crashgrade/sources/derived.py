@@ -17,7 +17,7 @@ from crashgrade.sources.tables import table, table_with_row_id
 
 # Corner of the map square the points are spread over.
 SOUTH, WEST = -23.70, -46.80
-STANDARD_LAT = -23.5
+STANDARD_LATS = (-23.5, 39.5)
 # Few points per square kilometre here, so the cells are large.
 BASE_EDGE_M = 3000.0
 

@@ -95,10 +95,42 @@ def test_scaled_training_columns_have_mean_0_and_deviation_1(ws):
     assert list(row) == pytest.approx([0, 1, 0, 1], abs=1e-9)
 
 
-def test_a_level_absent_from_the_list_gives_zeros(spark):
-    df = spark.createDataFrame([("a",), ("z",), (None,)], "t string")
-    got = features.one_hot(df, "t", ["a", "b"], "t_").select("t_a", "t_b").collect()
-    assert [tuple(r) for r in got] == [(1, 0), (0, 0), (0, 0)]
+def test_a_level_absent_from_the_list_has_its_own_flag(spark):
+    df = spark.createDataFrame([("a",), ("z",), (None,), ("",)], "t string")
+    got = features.one_hot(df, "t", ["a", "b"], "t_").select("t_a", "t_b", "t_other").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0), (0, 0, 1), (0, 0, 1), (0, 0, 1)]
+
+
+def test_cells_keep_their_shape_in_both_countries(spark):
+    """A cell spans about as many metres on the ground east as north."""
+    lats = (-23.5, 40.0)
+    for lat in lats:
+        df = spark.createDataFrame([(lat, -80.0)], "lat double, lon double")
+        x, y = hexgrid.project(F.col("lat"), F.col("lon"), derived.STANDARD_LATS)
+        x2, y2 = hexgrid.project(F.col("lat") + 0.01, F.col("lon") + 0.01, derived.STANDARD_LATS)
+        row = df.select((x2 - x).alias("dx"), (y2 - y).alias("dy")).first()
+        step = math.radians(0.01) * hexgrid.EARTH_RADIUS_M
+        assert row["dx"] == pytest.approx(step * math.cos(math.radians(lat)), rel=0.02)
+        assert row["dy"] == pytest.approx(step, rel=0.02)
+
+
+def test_cells_of_the_two_grids_never_meet(spark):
+    points = spark.range(4000).select(
+        (F.rand(5) * 2 + hexgrid.BORDER_LAT - 1).alias("lat"), (F.rand(6) * 2 - 80).alias("lon")
+    )
+    cell = hexgrid.hex_cell(F.col("lat"), F.col("lon"), 40_000.0, derived.STANDARD_LATS)
+    sides = points.select(cell.alias("cell"), (F.col("lat") >= hexgrid.BORDER_LAT).alias("north")).distinct()
+    assert sides.count() == sides.select("cell").distinct().count() > 4
+
+
+def test_statistics_per_column_do_not_multiply_the_rows(ws):
+    plan = features.fit_scaler(ws.accidents(), ["precip", "bridge_len"])._jdf.queryExecution().toString()
+    assert "Expand" not in plan
+
+
+def test_parts_are_pruned_at_the_scan(ws):
+    plan = ws.train_rows()._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan
 
 
 def test_parts_are_stable_disjoint_and_near_their_shares(ws):
