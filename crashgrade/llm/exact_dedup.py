@@ -75,6 +75,9 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows that stay, with all their columns. A row goes by its id and its
+    text, so another text under the same id, or under no id, is left alone."""
+    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select("doc_id", "text_sha256")
+    gone = gone.toDF("_gone", "_digest")
+    same_id = docs[id_col].eqNullSafe(gone["_gone"])
+    return docs.join(gone, same_id & (F.sha2(normalised(text_col), 256) == gone["_digest"]), "left_anti")

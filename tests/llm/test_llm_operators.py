@@ -123,6 +123,16 @@ def test_exact_groups(spark):
     assert kept.columns == df.columns and kept.count() == len(EDGE) + 1 - 4
 
 
+def test_exact_copies_go_by_id_and_text(spark):
+    """A repeated id, or none, never takes a text along that has no copy."""
+    rows = [(1, "a b"), (2, "a  b"), (2, "only here"), (None, "a\nb"), (None, "no id"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_gone": F.lit(1), "_digest": F.lit("x")})
+    kept = exact_dedup.drop_exact_copies(df)
+    assert kept.columns == df.columns
+    got = {(r["doc_id"], r["text"]) for r in kept.collect()}
+    assert got == {(1, "a b"), (2, "only here"), (None, "no id"), (3, None)}
+
+
 def test_mix_comes_near_its_targets(docs, texts):
     got = mixing.mix_sources(docs).join(docs.select("doc_id", "source"), "doc_id").toPandas()
     size = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in texts.items()}
