@@ -36,13 +36,13 @@ HEADLINE = [
     "apply_scaler",
     "vif_trace",
     "split_audit",
-    # Fits all five base models, several at a time.
-    "base_scores",
+    # Each fit by itself; the first one builds the training table.
     "fit_logistic",
     "fit_lda_all_features",
     "fit_forest",
     "fit_mlp_early_stop",
     "fit_boosted",
+    "base_scores",
     "fit_stack",
     "tune_models",
     "threshold_sweep",

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 from crashgrade.functions.hexgrid import BORDER_LAT, EARTH_RADIUS_M, edge_length
+from crashgrade.operators.features import REGISTRY
 from crashgrade.sources.derived import ACCIDENT_ROADS, BASE_EDGE_M, ROAD_TYPES, STANDARD_LATS
 
 
@@ -312,24 +313,70 @@ def profiled(cols: tuple[str, ...]) -> str:
     return " UNION ALL ".join(picks)
 
 
-SCALED = ("precip", "bridge_len", "mean_speed")
-VIF3 = """
-, r AS (SELECT corr(mean_speed, lanes) AS ab, corr(mean_speed, speed_x_lanes) AS ac,
-               corr(lanes, speed_x_lanes) AS bc FROM accidents)
-, det AS (SELECT *, 1e0 + 2e0 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS d FROM r)
-, vifs AS (SELECT 'mean_speed' AS feature, (1e0 - bc * bc) / d AS vif FROM det
-           UNION ALL SELECT 'lanes', (1e0 - ac * ac) / d FROM det
-           UNION ALL SELECT 'speed_x_lanes', (1e0 - ab * ab) / d FROM det)
-, worst AS (SELECT feature, vif FROM vifs WHERE vif > 10e0 ORDER BY vif DESC LIMIT 1)
-, pairs AS (SELECT 'mean_speed' AS a, 'lanes' AS b, ab AS c FROM r
-            UNION ALL SELECT 'mean_speed', 'speed_x_lanes', ac FROM r
-            UNION ALL SELECT 'lanes', 'speed_x_lanes', bc FROM r)
-, left_pair AS (SELECT * FROM pairs WHERE a NOT IN (SELECT feature FROM worst)
-                                      AND b NOT IN (SELECT feature FROM worst))
-, after AS (SELECT a AS feature, 1e0 / (1e0 - c * c) AS vif FROM left_pair
-            UNION ALL SELECT b, 1e0 / (1e0 - c * c) FROM left_pair)
+SCALED = [f.name for f in REGISTRY if f.scaled]
+SCALER = ", stats AS (SELECT " + ", ".join(
+    f"avg(cast({c} AS double)) AS {c}_mean, stddev_pop(cast({c} AS double)) AS {c}_deviation" for c in SCALED
+) + " FROM joined WHERE part = 'train')"
+
+
+def vif3(a: str, b: str, c: str, tag: str = "") -> str:
+    """Inflation of three columns, and of the pair left if the worst one goes."""
+    r, det, vifs, worst, pairs, left, after = (
+        f"{t}{tag}" for t in ("r", "det", "vifs", "worst", "pairs", "left_pair", "after")
+    )
+    return f"""
+, {r} AS (SELECT corr({a}, {b}) AS ab, corr({a}, {c}) AS ac, corr({b}, {c}) AS bc FROM accidents)
+, {det} AS (SELECT *, 1e0 + 2e0 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS d FROM {r})
+, {vifs} AS (SELECT '{a}' AS feature, (1e0 - bc * bc) / d AS vif FROM {det}
+           UNION ALL SELECT '{b}', (1e0 - ac * ac) / d FROM {det}
+           UNION ALL SELECT '{c}', (1e0 - ab * ab) / d FROM {det})
+, {worst} AS (SELECT feature, vif FROM {vifs} WHERE vif > 10e0 ORDER BY vif DESC LIMIT 1)
+, {pairs} AS (SELECT '{a}' AS a, '{b}' AS b, ab AS c FROM {r}
+            UNION ALL SELECT '{a}', '{c}', ac FROM {r}
+            UNION ALL SELECT '{b}', '{c}', bc FROM {r})
+, {left} AS (SELECT * FROM {pairs} WHERE EXISTS (SELECT 1 FROM {worst})
+             AND a NOT IN (SELECT feature FROM {worst}) AND b NOT IN (SELECT feature FROM {worst}))
+, {after} AS (SELECT a AS feature, 1e0 / (1e0 - c * c) AS vif FROM {left}
+            UNION ALL SELECT b, 1e0 / (1e0 - c * c) FROM {left}
+            UNION ALL SELECT feature, vif FROM {vifs} WHERE NOT EXISTS (SELECT 1 FROM {worst}))
 """
 
+
+VIF3 = vif3("mean_speed", "lanes", "speed_x_lanes")
+VERDICTS = VIF3 + vif3("precip", "n_curves", "rain_x_curves", "_rain") + """
+, verdicts AS (SELECT feature, round(vif, 6) AS vif, accepted FROM (
+    SELECT *, cast(0 AS bigint) AS accepted FROM worst UNION ALL SELECT *, 1 FROM after
+    UNION ALL SELECT *, 0 FROM worst_rain UNION ALL SELECT *, 1 FROM after_rain)
+  WHERE feature IN ('speed_x_lanes', 'rain_x_curves'))
+"""
+# Sums of the labels -1 and 1 on the four combinations of two flags; what a
+# split removes is the sum of s * s / n below it, less that of the node.
+TREE2 = """
+, combos AS (SELECT bridge_len >= 200e0 AS a, precip >= 50e0 AS b, cast(count(*) AS double) AS n,
+                    cast(sum(2 * severe - 1) AS double) AS s FROM accidents GROUP BY ALL)
+, removed AS (SELECT (SELECT sum(s) * sum(s) / sum(n) FROM combos) AS whole,
+    (SELECT sum(q) FROM (SELECT sum(s) * sum(s) / sum(n) AS q FROM combos GROUP BY a)) AS by_a,
+    (SELECT sum(q) FROM (SELECT sum(s) * sum(s) / sum(n) AS q FROM combos GROUP BY b)) AS by_b,
+    (SELECT sum(s * s / n) FROM combos) AS by_both)
+, share AS (SELECT CASE WHEN by_a >= by_b THEN by_a - whole ELSE by_both - by_b END
+                   / (by_both - whole) AS of_a FROM removed)
+, importances AS (SELECT *, row_number() OVER (ORDER BY importance DESC, feature) AS importance_rank
+    FROM (SELECT 'bridge_len' AS feature, 'road' AS feature_group, round(of_a, 6) AS importance FROM share
+          UNION ALL SELECT 'precip', 'climate', round(1e0 - of_a, 6) FROM share))
+"""
+RATES = """
+, rates AS (SELECT cast(sum(severe) FILTER (country_flag = 1) AS double) AS x1,
+                   cast(count(*) FILTER (country_flag = 1) AS double) AS n1,
+                   cast(sum(severe) FILTER (country_flag = 0) AS double) AS x0,
+                   cast(count(*) FILTER (country_flag = 0) AS double) AS n0 FROM accidents)
+"""
+
+
+def verdict(number: int, statement: str, left: str, right: str, confirmed: str, source: str) -> str:
+    return f"""SELECT cast({number} AS bigint) AS hypothesis, '{statement}' AS statement,
+        cast({left} AS double) AS left_value, cast({right} AS double) AS right_value,
+        cast({confirmed} AS bigint) AS confirmed FROM {source}"""
+
 CORRELATED = ("precip", "bridge_len", "n_curves", "mean_speed", "lanes", "speed_x_lanes")
 
 LDA2 = """
@@ -489,14 +536,12 @@ def oracles() -> dict[str, str]:
     q["one_hot"] = "SELECT accident_id, " + ", ".join(
         flag("road_type", r, f"is_{r}") for r in ACCIDENT_ROADS
     ) + ", " + other("road_type", ACCIDENT_ROADS, "is_other") + " FROM accidents"
-    q["fit_scaler"] = " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, "
-        f"round(stddev_pop({c}), 6) AS deviation FROM accidents WHERE part = 'train'"
+    q["fit_scaler"] = JOINED + SCALER + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round({c}_mean, 6) AS mean, round({c}_deviation, 6) AS deviation FROM stats"
         for c in SCALED)
-    q["apply_scaler"] = "SELECT accident_id, part, " + ", ".join(
-        f"round(({c} - (SELECT avg({c}) FROM accidents WHERE part = 'train')) "
-        f"/ (SELECT stddev_pop({c}) FROM accidents WHERE part = 'train'), 6) AS {c}"
-        for c in SCALED) + " FROM accidents"
+    q["apply_scaler"] = JOINED + SCALER + "SELECT accident_id, part, " + ", ".join(
+        f"round(coalesce(({c} - {c}_mean) / nullif({c}_deviation, 0e0), 0e0), 6) + 0e0 AS {c}"
+        for c in SCALED) + " FROM joined, stats"
 
     # Collinearity and split
     q["corr_matrix"] = " UNION ALL ".join(
@@ -507,6 +552,7 @@ def oracles() -> dict[str, str]:
     q["vif_stepwise"] = VIF3 + """SELECT feature, cast(1 AS bigint) AS step, round(vif, 6) AS vif,
         cast(0 AS bigint) AS kept FROM worst
         UNION ALL SELECT feature, NULL, round(vif, 6), 1 FROM after"""
+    q["interaction_verdict_three"] = VERDICTS + "SELECT * FROM verdicts"
     q["split3"] = "SELECT accident_id, part FROM accidents"
     q["split_audit"] = """SELECT part, count(*) AS n_rows, count(DISTINCT accident_id) AS n_keys,
         count(DISTINCT accident_id) FILTER (accident_id IN (SELECT accident_id FROM accidents
@@ -531,6 +577,24 @@ def oracles() -> dict[str, str]:
     q["fit_boosted_one_flag"] = per_flag.format(
         p="1e0 / (1e0 + exp(-2e0 * (cast(sum(2 * severe - 1) AS double) / count(*))))"
     )
+    share = "round(cast(sum(severe) AS double) / count(*), 2)"
+    q["fit_mlp_one_flag"] = f"""SELECT rush_hour, count(*) AS n_rows, {share} AS lowest,
+        {share} AS highest FROM accidents GROUP BY rush_hour"""
+    q["base_scores_one_flag"] = f""", levels AS (SELECT rush_hour,
+          round(cast(sum(severe) AS double) / count(*), 4) AS logistic,
+          round(sum(severe) * {weight} / (sum(severe) * {weight} + sum(1 - severe)), 4) AS forest,
+          round(1e0 / (1e0 + exp(-2e0 * (cast(sum(2 * severe - 1) AS double) / count(*)))), 4) AS boosted
+          FROM accidents GROUP BY rush_hour)
+        SELECT accident_id, severe, logistic, forest, boosted FROM accidents JOIN levels USING (rush_hour)"""
+    q["score_one_flag"] = """, levels AS (SELECT rush_hour,
+          cast(sum(severe) FILTER (part = 'train') AS double) / count(*) FILTER (part = 'train') AS logistic,
+          cast(sum(severe) FILTER (part = 'meta') AS double) / count(*) FILTER (part = 'meta') AS stack
+          FROM accidents GROUP BY rush_hour)
+        , stacked AS (SELECT accident_id, part, severe, logistic, 'stack' AS model, stack AS p
+                      FROM accidents JOIN levels USING (rush_hour))
+        , cut AS (""" + best("(SELECT * FROM stacked WHERE part = 'meta')") + """)
+        SELECT accident_id, round(logistic, 4) AS logistic, round(p, 4) AS stack,
+               cast(p >= threshold AS bigint) AS predicted FROM stacked, cut"""
     q["fit_stack_one_score"] = """, odds AS (SELECT p,
           ln(cast(sum(severe) AS double) / sum(1 - severe)) AS logit
           FROM rules WHERE part = 'meta' AND model = 'rule_time' GROUP BY p),
@@ -615,7 +679,55 @@ def oracles() -> dict[str, str]:
         [rate_gap("rush_hour", "rush_hour = 1"), rate_gap("country_flag", "country_flag = 1")]
         + [rate_gap(f"road_{r}", f"road_type = '{r}'") for r in ACCIDENT_ROADS])
 
+    q["tree_importance_two_flags"] = TREE2 + """SELECT feature, importance, importance_rank
+        FROM importances"""
+    q["group_importance_two_flags"] = TREE2 + """SELECT feature_group, importance,
+        cast(1 AS bigint) AS n_features FROM importances"""
+    q["project_2d_two_columns"] = """, z AS (SELECT accident_id,
+          (bridge_len - (SELECT avg(bridge_len) FROM accidents))
+            / (SELECT stddev_pop(bridge_len) FROM accidents) AS a,
+          (road_len - (SELECT avg(road_len) FROM accidents))
+            / (SELECT stddev_pop(road_len) FROM accidents) AS b FROM accidents)
+        , points AS (SELECT accident_id, abs(a + b) / sqrt(2e0) AS along, abs(a - b) / sqrt(2e0) AS across,
+                            (SELECT corr(a, b) FROM z) > 0 AS same FROM z)
+        SELECT accident_id, round(CASE WHEN same THEN along ELSE across END, 5) AS x,
+               round(CASE WHEN same THEN across ELSE along END, 5) AS y FROM points"""
+
     # Hypotheses
+    cast = f", cast_rules AS (SELECT * FROM ({compared('test')}))"
+
+    def of(model: str, metric: str) -> str:
+        return f"max({metric}) FILTER (model = '{model}')"
+
+    singles = "greatest({0}, {1})"
+    best_auc = singles.format(of("rule", "auc"), of("rule_rain", "auc"))
+    best_f1 = singles.format(of("rule", "f1"), of("rule_rain", "f1"))
+    answers = {
+        "hyp_road_over_climate_two_flags": (TREE2, verdict(
+            1, "road importance exceeds climate importance",
+            "max(importance) FILTER (feature_group = 'road')",
+            "max(importance) FILTER (feature_group = 'climate')",
+            "max(importance) FILTER (feature_group = 'road') > max(importance) FILTER (feature_group = 'climate')",
+            "importances")),
+        "hyp_interactions_three": (VERDICTS, verdict(
+            2, "climate and road interactions pass the VIF limit", "sum(accepted)", "count(*)",
+            "sum(accepted) = count(*)", "verdicts WHERE feature = 'rain_x_curves'")),
+        "hyp_country_one_flag": (RATES, verdict(
+            3, "country is a control with an effect of its own", "x1 / n1", "x0 / n0",
+            """x1 / n1 <> x0 / n0 AND abs(x1 / n1 - x0 / n0) >= 1.96e0 * sqrt((x1 + x0) / (n1 + n0)
+               * (1e0 - (x1 + x0) / (n1 + n0)) * (1e0 / n1 + 1e0 / n0))""", "rates")),
+        "hyp_nonlinear_rules": (cast, verdict(
+            4, "non-linear models exceed linear ones in AUC", of("rule", "auc"), of("rule_rain", "auc"),
+            f"{of('rule', 'auc')} > {of('rule_rain', 'auc')}", "cast_rules")),
+        "hyp_stack_rules": (cast, verdict(
+            5, "the stack exceeds every single model in AUC and F1", of("rule_time", "auc"), best_auc,
+            f"{of('rule_time', 'auc')} > {best_auc} AND {of('rule_time', 'f1')} > {best_f1}", "cast_rules")),
+    }
+    for name, (tables, body) in answers.items():
+        q[name] = tables + body
+    q["hypothesis_report_rules"] = TREE2 + VERDICTS + RATES + cast + " UNION ALL ".join(
+        body for _, body in answers.values()
+    )
     q["hyp_country"] = """SELECT country_flag, count(*) AS n_rows,
         cast(sum(severe) AS double) / count(*) AS severe_share FROM accidents GROUP BY country_flag"""
 

@@ -424,18 +424,18 @@ def one_hot(ws):
     return df.select(KEY, *[f"is_{r}" for r in derived.ACCIDENT_ROADS], "is_other")
 
 
-SCALED = ["precip", "bridge_len", "mean_speed"]
+SCALED = [f.name for f in features.REGISTRY if f.scaled]
 
 
 @query
 def fit_scaler(ws):
-    train = split.split3(ws.accidents(), KEY).where(F.col("part") == "train")
+    train = ws.joined().where(F.col("part") == "train")
     return rounded(features.fit_scaler(train, SCALED), "mean", "deviation")
 
 
 @query
 def apply_scaler(ws):
-    rows = split.split3(ws.accidents(), KEY)
+    rows = ws.joined()
     stats = features.fit_scaler(rows.where(F.col("part") == "train"), SCALED)
     return rounded(features.apply_scaler(rows, stats), *SCALED).select(KEY, "part", *SCALED)
 
@@ -473,6 +473,21 @@ def interaction_verdict(ws):
     return collinear.interaction_verdict(ws.vif_trace, features.INTERACTIONS)
 
 
+# The interactions with SQL, each next to its own factors.
+INTERACTION_TRIPLES = (
+    ("mean_speed", "lanes", "speed_x_lanes"),
+    ("precip", "n_curves", "rain_x_curves"),
+)
+
+
+@query
+def interaction_verdict_three(ws):
+    """Two interactions, each against its factors alone, in closed form."""
+    traces = [collinear.vif_stepwise(ws.accidents(), cols) for cols in INTERACTION_TRIPLES]
+    verdicts = [collinear.interaction_verdict(t, features.INTERACTIONS) for t in traces]
+    return rounded(verdicts[0].unionByName(verdicts[1]), "vif")
+
+
 # Split
 
 
@@ -499,29 +514,32 @@ def fit_logistic(ws):
     return ws.spark.createDataFrame(rows, "feature string, coefficient double")
 
 
-def _one_flag(ws: Workspace) -> DataFrame:
+def _one_flag(ws: Workspace, flag: str = "rush_hour") -> DataFrame:
     """All accidents with the rush hour as the only feature. With a single 0/1
     feature every model below has a closed form."""
-    return VectorAssembler(inputCols=["rush_hour"], outputCol="features").transform(ws.accidents())
+    return VectorAssembler(inputCols=[flag], outputCol="features").transform(ws.accidents())
 
 
-def _score_per_flag(ws: Workspace, model) -> DataFrame:
+def _logistic_table(ws: Workspace, flag: str) -> DataFrame:
+    fitted = classifiers.fit_logistic(_one_flag(ws, flag), tolerance=1e-12).stages[-1]
+    return ws.spark.createDataFrame(
+        [("(intercept)", fitted.intercept), (flag, float(fitted.coefficients[0]))],
+        "feature string, coefficient double",
+    )
+
+
+def _score_per_flag(ws: Workspace, model, digits: int = 6) -> DataFrame:
     scored = classifiers.add_score(_one_flag(ws), model, "p")
     levels = scored.groupBy("rush_hour").agg(
         F.count("*").alias("n_rows"), F.min("p").alias("lowest"), F.max("p").alias("highest")
     )
-    return rounded(levels, "lowest", "highest")
+    return rounded(levels, "lowest", "highest", digits=digits)
 
 
 @query
 def fit_logistic_one_flag(ws):
     """The coefficients are log odds."""
-    fitted = classifiers.fit_logistic(_one_flag(ws), tolerance=1e-12).stages[-1]
-    table = ws.spark.createDataFrame(
-        [("(intercept)", fitted.intercept), ("rush_hour", float(fitted.coefficients[0]))],
-        "feature string, coefficient double",
-    )
-    return rounded(table, "coefficient", digits=4)
+    return rounded(_logistic_table(ws, "rush_hour"), "coefficient", digits=4)
 
 
 @query
@@ -538,6 +556,43 @@ def fit_boosted_one_flag(ws):
     return _score_per_flag(ws, model)
 
 
+@query
+def fit_mlp_one_flag(ws):
+    """Without hidden layer the network's optimum is the severe share of each level."""
+    model = classifiers.fit_mlp(_one_flag(ws), 1, KEY, hidden=(), balanced=False)
+    return _score_per_flag(ws, model, 2)
+
+
+@query
+def base_scores_one_flag(ws):
+    """Three fitted models side by side."""
+    rows = _one_flag(ws)
+    models = {
+        "logistic": classifiers.fit_logistic(rows, tolerance=1e-12),
+        "forest": classifiers.fit_forest(rows, sample=1.0, trees=1, depth=1, bootstrap=False),
+        "boosted": classifiers.fit_boosted(rows, trees=1, depth=1, balanced=False),
+    }
+    scored = classifiers.base_scores(models, rows).select(KEY, "severe", *models)
+    return rounded(scored, *models, digits=4)
+
+
+@query
+def score_one_flag(ws):
+    """The whole way of a new row on one flag: preparation, a base model, the
+    stack of it, and the class at the cut tuned on the meta holdout."""
+    rows = split.split3(ws.accidents(), KEY)
+    train, meta = (rows.where(F.col("part") == p) for p in ("train", "meta"))
+    cols, keep = ["rush_hour"], [KEY, "severe"]
+    preparation = prepare.fit_preparation(train, cols, [])
+    vectors = prepare.prepare(preparation, train, cols, keep)
+    models = {"logistic": classifiers.fit_logistic(vectors, tolerance=1e-12)}
+    unseen = classifiers.base_scores(models, prepare.prepare(preparation, meta, cols, keep))
+    stacked = stack.fit_stack(unseen, list(models), tolerance=1e-12)
+    cuts = threshold.tune_all(stack.stack_scores(stacked, unseen), [stack.STACK])
+    scored = stack.score(rows, preparation, models, stacked, cuts, cols, [KEY])
+    return rounded(scored, "logistic", stack.STACK, digits=4)
+
+
 @query
 def fit_stack_one_score(ws):
     """A stack of one score with two values: its weight is a slope of log odds."""
@@ -805,6 +860,26 @@ def tree_importance(ws):
     return explain.tree_importance(ws.spark, ws.model("boosted").stages[-1], ws.feature_names)
 
 
+# Two 0/1 features, named like the columns they are made of.
+TWO_FLAGS = {"bridge_len": 200.0, "precip": 50.0}
+
+
+@query
+def tree_importance_two_flags(ws):
+    """One boosted tree of depth 2: the variance that each flag removes."""
+    flags = [(F.col(c) >= F.lit(least)).cast("int").alias(c) for c, least in TWO_FLAGS.items()]
+    rows = ws.accidents().select("severe", *flags)
+    rows = VectorAssembler(inputCols=list(TWO_FLAGS), outputCol="features").transform(rows)
+    model = classifiers.fit_boosted(rows, trees=1, depth=2, balanced=False)
+    return rounded(explain.tree_importance(ws.spark, model.stages[-1], list(TWO_FLAGS)), "importance")
+
+
+@query
+def group_importance_two_flags(ws):
+    registry = features.registry_table(ws.spark, list(TWO_FLAGS))
+    return explain.group_importance(tree_importance_two_flags(ws), registry)
+
+
 @query
 def group_importance(ws):
     return explain.group_importance(tree_importance(ws), ws.registry())
@@ -894,9 +969,60 @@ def project_2d(ws):
     return explain.project_2d(features.apply_scaler(ws.base(), stats), cols, [KEY, "severe"])
 
 
+@query
+def project_2d_two_columns(ws):
+    """Two scaled columns, whose components are their sum and difference; a
+    component has no sign of its own."""
+    cols = ["bridge_len", "road_len"]
+    scaled = features.apply_scaler(ws.accidents(), features.fit_scaler(ws.accidents(), cols))
+    points = explain.project_2d(scaled, cols, [KEY])
+    return rounded(points.withColumns({c: F.abs(F.col(c)) for c in ("x", "y")}), "x", "y", digits=5)
+
+
 # Hypotheses
 
 
+@query
+def hyp_road_over_climate_two_flags(ws):
+    return hypotheses.road_over_climate(group_importance_two_flags(ws))
+
+
+@query
+def hyp_interactions_three(ws):
+    return hypotheses.interactions_pass(interaction_verdict_three(ws))
+
+
+@query
+def hyp_country_one_flag(ws):
+    return hypotheses.country_controls(ws.accidents(), _logistic_table(ws, "country_flag"))
+
+
+def _cast_rules(ws: Workspace) -> DataFrame:
+    """The rule scores in the parts of a tree model, a linear one and the stack."""
+    parts = {"rule": "boosted", "rule_rain": "logistic", "rule_time": stack.STACK}
+    compared = ws.table("compared_rules", lambda: compare_rules(ws))
+    return compared.replace(parts, subset=["model"])
+
+
+@query
+def hyp_nonlinear_rules(ws):
+    return hypotheses.nonlinear_over_linear(_cast_rules(ws))
+
+
+@query
+def hyp_stack_rules(ws):
+    return hypotheses.stack_over_best(_cast_rules(ws))
+
+
+@query
+def hypothesis_report_rules(ws):
+    """The five verdicts from tables that have SQL."""
+    return hypotheses.report(
+        hyp_road_over_climate_two_flags(ws), hyp_interactions_three(ws), hyp_country_one_flag(ws),
+        hyp_nonlinear_rules(ws), hyp_stack_rules(ws),
+    )
+
+
 @query
 def hyp_road_over_climate(ws):
     return hypotheses.road_over_climate(group_importance(ws))
