@@ -280,6 +280,17 @@ def test_passages_find_copies_and_leave_others(spark):
     assert [got[i]["n_spans"] for i in (0, 1, 4)] == [0, 0, 0] and got[6]["near_id"] == 5
 
 
+def test_passages_twice_in_either_text(spark):
+    """The head is the text with the smallest digest, so both orders are tried."""
+    shared = prose(60, 80)
+    for k in range(6):
+        twice = f"{prose(61 + k, 90)} {shared} {prose(71 + k, 90)} {shared} {prose(81 + k, 90)}"
+        rows = [twice, f"{shared} {prose(91 + k, 90)}"]
+        got = {r["doc_id"]: r for r in passages.near_passages(frame(spark, rows)).collect()}
+        assert [(s["begin"], s["end"]) for s in json.loads(got[0]["spans"])] == [(90, 170), (260, 340)]
+        assert got[1]["n_words"] == 80
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     for t in ("documents", "embeddings", "labels"):
