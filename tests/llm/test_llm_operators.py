@@ -291,6 +291,21 @@ def test_passages_twice_in_either_text(spark):
         assert got[1]["n_words"] == 80
 
 
+def test_passages_of_the_least_length_with_edited_edges():
+    """Words 0 and n - 1 differ, so fewer than 46 shingles are left in between."""
+    x = np.arange(100, 146, dtype=np.int32)
+    first, last = x.copy(), x.copy()
+    first[0], last[-1] = 1, 2
+    assert passages.near_runs(x, first, 0, 0) == [(0, 46, 0, 46)]
+    assert passages.near_runs(first, last, 5, 0) == [(5, 51, 0, 46)]
+    both = np.arange(100, 148, dtype=np.int32)
+    both[[0, 1, 46, 47]] = [3, 4, 5, 6]
+    assert [r[1] - r[0] for r in passages.near_runs(both, np.arange(100, 148, dtype=np.int32), 0, 0)] == [46]
+    # 39 of 53 are common; below 46 places there is no passage.
+    assert passages.near_runs(np.arange(46), np.concatenate([np.arange(39), 900 + np.arange(7)]), 0, 0) == []
+    assert passages.near_runs(np.arange(45), np.arange(45), 0, 0) == []
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     for t in ("documents", "embeddings", "labels"):
