@@ -306,6 +306,26 @@ def test_passages_of_the_least_length_with_edited_edges():
     assert passages.near_runs(np.arange(45), np.arange(45), 0, 0) == []
 
 
+def star(seed, n):
+    """A passage of 60 words and n documents that each replace one word of it."""
+    words = prose(seed, 60).split()
+    out = [list(words)]
+    for k in range(n):
+        out.append(list(words))
+        out[-1][20 + k % 21] = f"other{seed}x{k}"
+    return [" ".join(w) for w in out]
+
+
+def test_star_shaped_near_copies_equal_brute_force(spark):
+    rows = [t for k, n in enumerate([1, 1, 5, 5, 5, 20, 20, 20]) for t in star(300 + k, n)]
+    df = frame(spark, rows)
+    got = {r["doc_id"]: r for r in passages.near_passages(df).collect()}
+    sets = [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for t in rows]
+    for i, x in enumerate(sets):
+        near = any(i != j and 4 * len(x & y) >= 3 * len(x | y) for j, y in enumerate(sets))
+        assert near and got[i]["n_words"] >= 50
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     for t in ("documents", "embeddings", "labels"):
