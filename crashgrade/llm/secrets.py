@@ -24,12 +24,15 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"  # digests
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # identifiers
-    r"|[0-9+/_=-]+|[A-Za-z+/_=-]+)"  # numbers, words and rules
+    r"|[0-9+/_=-]+)"  # numbers and rules
 )
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The pre-tokenizer of the vocabulary: contractions, words, numbers, signs, spaces.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 MOST_CHARS_PER_TOKEN = 2.2
+# Without a digit it may be a word, so the ratio has to be lower.
+MOST_WITHOUT_DIGIT = 1.95
+DIGIT = re.compile(r"[0-9]")
 
 _ENCODINGS: dict[str, object] = {}
 
@@ -63,12 +66,13 @@ LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 
 
 def token_spans(text: str, vocabulary: str, most: float) -> list[tuple[int, int, str]]:
-    """Long strings of letters and digits with few characters per token."""
+    """Long strings with few characters per token."""
     out = []
     for m in CANDIDATE.finditer(text):
         if KNOWN.fullmatch(m[0]):
             continue
-        if len(m[0]) / len(encoding(vocabulary).encode_ordinary(m[0])) <= most:
+        cut = most if DIGIT.search(m[0]) else min(most, MOST_WITHOUT_DIGIT)
+        if len(m[0]) / len(encoding(vocabulary).encode_ordinary(m[0])) <= cut:
             out.append((m.start(), m.end(), "ratio"))
     return out
 
@@ -90,9 +94,9 @@ def find_secrets(
 
     Spans are kind:start:end in code points, end exclusive, of the whole match.
     Kind `ratio` is what the token test adds: strings of 16 or more characters
-    with both letters and digits that take a token for every
-    `most_chars_per_token` characters or fewer, unless the whole string has the
-    form of a digest or an identifier. `vocabulary` must exist on every
+    with letters that take a token for every `most_chars_per_token` characters
+    or fewer (without a digit, MOST_WITHOUT_DIGIT at most, so that words do not
+    count), unless the whole string has the form of a digest or an identifier. `vocabulary` must exist on every
     executor.
 
     A null or empty text has no spans (base_sha256 is that of the empty

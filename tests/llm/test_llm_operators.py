@@ -222,6 +222,17 @@ def test_secrets_equal_brute_force(spark, texts):
     assert sum(got[i]["n_ratio"] for i in range(5, len(rows)) if not got[i]["spans"]) == 0
 
 
+def test_secrets_of_letters_only():
+    find = lambda text: secrets.token_spans(text, secrets.VOCABULARY, secrets.MOST_CHARS_PER_TOKEN)
+    r = random.Random(7)
+    for letters in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        keys = ["".join(r.choice(letters) for _ in range(n)) for n in (20, 32, 40) for _ in range(200)]
+        assert sum(find(f"key {k} end") == [(4, 4 + len(k), "ratio")] for k in keys) >= 580
+    assert find("kJfQwZxLpTnVbRcYdHgS") == [(0, 20, "ratio")]
+    words = "internationalization Geschwindigkeitsbegrenzung my-long-kebab-case-name src/main/java/org/apache"
+    assert find(f"{words} ================ ---------------- 1234567890123456789") == []
+
+
 def test_top_k_equals_brute_force(spark):
     r = np.random.default_rng(4)
     vectors = np.round(r.normal(0, 0.2, (400, 8)), 1)
