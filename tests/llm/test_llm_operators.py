@@ -113,6 +113,15 @@ def test_shingle_join_equals_brute_force(spark, block):
     assert got == brute_links([(r["doc_id"], r["text"]) for r in df.collect()])
 
 
+def test_near_copies_go_by_id_and_text(spark):
+    """A near copy takes no other text of its id along, nor what is near that one."""
+    a, b = prose(400, 60), prose(401, 60)
+    rows = [(3, a), (7, a + " x"), (7, b), (9, b + " y"), (None, a), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["text"]) for r in shingle_join.drop_near_copies(df).collect()}
+    assert got == {(3, a), (7, b), (None, a), (5, None)}
+
+
 def test_exact_groups(spark):
     df = frame(spark, EDGE, extra=True).unionByName(frame(spark, ["one"], extra=True).withColumn("doc_id", F.lit(None).cast("long")))
     got = {r["doc_id"]: r for r in exact_dedup.exact_groups(df).collect()}
