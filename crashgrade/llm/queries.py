@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from crashgrade.llm.common import table
+from crashgrade.llm.conversations import repair_conversations
 from crashgrade.llm.exact_dedup import exact_groups
 from crashgrade.llm.language import identify_languages
 from crashgrade.llm.mixing import mix_sources
 from crashgrade.llm.packing import pack
 from crashgrade.llm.passages import near_passages
 from crashgrade.llm.quality import classify_quality
+from crashgrade.llm.quality_rules import judge_quality
 from crashgrade.llm.secrets import find_secrets
 from crashgrade.llm.shingle_join import link_documents
+from crashgrade.llm.spelling import spelling_groups
 from crashgrade.llm.suffix_dedup import remove_repeats
 from crashgrade.llm.topk import exact_top_k
 
@@ -57,6 +60,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,5 +85,8 @@ QUERIES = {
         op8_shingle_join,
         op9_suffix_dedup,
         op10_language_id,
+        op11_quality_rules,
+        op12_conversation_repair,
+        op13_spelling_variants,
     )
 }
