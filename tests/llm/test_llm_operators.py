@@ -242,20 +242,45 @@ def test_secrets_of_letters_only():
     assert find(f"{words} ================ ---------------- 1234567890123456789") == []
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("sizes", [(64, 2), (8192, 16384)])
+def test_top_k_equals_brute_force(spark, sizes):
+    """Repeated ids are candidates row by row, as in the query's SQL."""
     r = np.random.default_rng(4)
     vectors = np.round(r.normal(0, 0.2, (400, 8)), 1)
     rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)]
-    rows += [(1000, None, 0), (1050, [float("nan")] * 8, 0), (1100, [1.0, None] * 4, 0), (1150, [0.5] * 3, 0), (50, rows[50][1], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = topk.exact_top_k(df, block_rows=64, query_rows=2).collect()
-    whole = np.floor(vectors * 256).astype(int)
+    again = [(7, rows[9][1], 0), (50, rows[50][1], 0), (100, rows[3][1], 0), (7, rows[7][1], 0)]
+    none = [(1000, None, 0), (1050, [float("nan")] * 8, 0), (1100, [1.0, None] * 4, 0), (1150, [0.5] * 3, 0), (None, [9.0] * 8, 0)]
+    df = spark.createDataFrame(rows + again + none, "vec_id long, embedding array<double>, label int").withColumns(
+        {c: F.lit(1) for c in ("v", "length", "block", "part", "rank")}
+    )
+    got = topk.exact_top_k(df, block_rows=sizes[0], query_rows=sizes[1]).collect()
+    whole = [(i, np.floor(np.array(v) * 256).astype(int)) for i, v, _ in rows + again]
     for q in range(0, 400, 50):
-        want = sorted(((-int(whole[q] @ whole[i]), i) for i in range(400) if i != q))[:5]
+        want = sorted((-int(x @ v), i) for own, x in whole if own == q for i, v in whole if i != q)[:5]
         mine = sorted((x["rank"], x["vec_id"], x["score"]) for x in got if x["query_id"] == q)
         assert mine == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
 
 
+def test_top_k_of_huge_values(spark):
+    rows = [(0, [1e300, 1.0]), (1, [2.0, 1.0]), (2, [-1e300, 1.0]), (3, [1e308, 0.0]), (50, [1.0, 0.0]), (4, [1e9, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {q: [(x["vec_id"], x["score"]) for x in topk.exact_top_k(df).orderBy("rank").collect() if x["query_id"] == q] for q in (0, 50)}
+    most = (1 << 63) - 1
+    assert got[0] == [(1, most), (4, most), (50, most), (2, -most - 1)]
+    assert got[50] == [(0, most), (4, 256 * 256 * 10**9), (1, 512 * 256), (2, -most - 1)]
+
+
+def test_top_k_stops_where_the_bound_allows():
+    r = np.random.default_rng(8)
+    vectors = np.floor(r.normal(0, 10, (4000, 3)))
+    vectors[:20] = 200 + np.arange(20)[:, None]
+    lists = topk.SortedLists(np.arange(4000), vectors)
+    queries = np.ones((4, 3))
+    scores, rows, scored = topk.threshold_search(lists, queries, np.full(4, -1), 5)
+    assert rows.tolist() == [[19, 18, 17, 16, 15]] * 4 and scored < 4 * 200
+    assert scores[0].tolist() == [3.0 * (200 + i) for i in (19, 18, 17, 16, 15)]
+
+
 def test_language_is_right_on_held_out_rows(spark, docs):
     rows = docs.unionByName(docs.limit(1).withColumn("text", F.lit("12 34"))).unionByName(docs.limit(1).withColumn("text", F.lit(None)))
     got = language.identify_languages(rows).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
