@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -401,7 +402,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     flagged = rows.select("*", digest).withColumn("maybe", maybe(F.xxhash64("t")))
     out = "doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed".split(", ")
-    none = F.array().cast("array<struct<start:long,end:long>>")
+    none = F.lit("[]")
     zero = F.lit(0).cast("long")
     untouched = flagged.where(~F.col("maybe")).select(
         "doc_id",
@@ -430,12 +431,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     at = b
                 kept.update(raw[at:])
                 got.append((len(raw), sum(b - a for a, b in runs), len(runs), kept.hexdigest(), runs))
-            removed = [[{"start": a, "end": b} for a, b in g[4]] for g in got]
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            removed = [json.dumps([{"start": a, "end": b} for a, b in g[4]]) for g in got]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)]
                 + [pa.array([g[k] for g in got], pa.int64()) for k in range(3)]
-                + [pa.array([g[3] for g in got], pa.string()), pa.array(removed, span)],
+                + [pa.array([g[3] for g in got], pa.string()), pa.array(removed, pa.string())],
                 out,
             )
 
@@ -445,8 +445,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("doc_id", "text", "spans")
         .mapInArrow(
             remove,
-            f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string,"
-            " removed array<struct<start:long,end:long>>",
+            f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed string",
         )
     )
     return untouched.select(*out).unionByName(cleaned.select(*out))
