@@ -40,6 +40,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_rows(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The documents with a number for each row, and the number's column name,
+    which no other column has. Stored, so that the numbers stay the same
+    whatever is read of them. So rows that repeat an id, or all of another row,
+    can be told apart."""
+    key = "_row"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    return stored(docs.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

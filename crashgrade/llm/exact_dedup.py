@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crashgrade.llm.common import normalised
+from crashgrade.llm.common import normalised, with_rows
 
 SALTS = 16
 
@@ -75,9 +75,14 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. A row goes by its id and its
-    text, so another text under the same id, or under no id, is left alone."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select("doc_id", "text_sha256")
-    gone = gone.toDF("_gone", "_digest")
-    same_id = docs[id_col].eqNullSafe(gone["_gone"])
-    return docs.join(gone, same_id & (F.sha2(normalised(text_col), 256) == gone["_digest"]), "left_anti")
+    """The rows that stay, with all their columns: one of each text.
+
+    Of equal texts (see `exact_groups`) the row with the smallest id stays, a
+    null id after all others; of several such rows the first one. A repeated
+    id takes no other text along. All empty and null texts are one text. No rows
+    give no rows; columns of any name stay as they are."""
+    rows, key = with_rows(docs, "exact")
+    rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(key))
+    ranked = rows.select(rank.alias("rank"), F.col(text_col).alias("body"))
+    gone = exact_groups(ranked, "rank", "body").where(~F.col("kept")).select(F.col(f"doc_id.{key}").alias(key))
+    return rows.join(gone, key, "left_anti").drop(key)

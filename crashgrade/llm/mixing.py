@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from crashgrade.llm.common import numbered, stored, word_count
+from crashgrade.llm.common import numbered, stored, with_rows, word_count
 from crashgrade.operators.joins import join_dimension
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -106,11 +106,12 @@ def mix_sources(
     block_words: int = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS,
     seed: int = SEED,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies.
 
-    The words of a source are laid out in shards (by a seeded hash of the id,
-    about `shard_words` each) and, within a shard, in a seeded order of its
+    The words of a source are laid out in shards (by a seeded hash of id and
+    text, about `shard_words` each) and, within a shard, in a seeded order of its
     documents. All words of the mix are cut into blocks of `block_words`;
     the sources get whole blocks by the highest quotients of their targets,
     and each source's shards get theirs in the same way by their sizes. A
@@ -121,14 +122,19 @@ def mix_sources(
 
     `copies` is `taken` in whole documents, rounded half up. A null text has
     size 0 and is never taken. A null source is a source, the last one. Rows
-    that repeat an id are documents of their own. No rows, or no words at all,
-    give targets of 0. Other columns are not read.
+    that repeat an id are documents of their own; `row_col` is carried along to
+    tell them apart. No rows, or no words at all, give targets of 0. Other columns
+    are not read.
     """
+    carried = [row_col] if row_col else []
     base = stored(
         docs.select(
             F.col(id_col).alias("doc_id"),
             _source_key(source_col).alias("source_key"),
             word_count(text_col).alias("size"),
+            # By the text too, so that the rows of a repeated or null id are spread.
+            F.xxhash64(id_col, text_col, F.lit(seed)).alias("spot"),
+            *carried,
         ),
         "sizes",
     )
@@ -150,8 +156,8 @@ def mix_sources(
         F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("n_shards"),
     )
     quotas = stored(quotas, "quotas")
-    placed = join_dimension(base, quotas, ["source_key"], ["doc_id"]).withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_shards"))
+    placed = join_dimension(base, quotas, ["source_key"], ["spot"]).withColumn(
+        "shard", F.pmod(F.col("spot"), F.col("n_shards"))
     )
     cell = ["source_key", "shard"]
     shards = apportion(
@@ -163,7 +169,7 @@ def mix_sources(
         "shard_size",
         "source_quota",
     ).select(*cell, "shard_size", "quota")
-    shuffled = W.partitionBy(*cell).orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
+    shuffled = W.partitionBy(*cell).orderBy(F.xxhash64("spot", F.lit(seed + 1)), "doc_id", "size", *carried)
     begin = F.sum("size").over(shuffled.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     laid = placed.withColumn("begin", begin).join(shards, cell)
     whole = F.col("shard_size")
@@ -191,20 +197,23 @@ def mix_sources(
         F.col("target").cast("double").alias("target"),
         taken.alias("taken"),
         F.when(F.col("size") > 0, F.floor(taken / F.col("size") + 0.5)).otherwise(zero).cast("long").alias("copies"),
+        *carried,
     )
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def apply_mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
+) -> DataFrame:
     """The documents as often as the mix takes them, with all their columns.
-    Every row of an id comes as often as its first one."""
+
+    Each row goes by itself, also where ids repeat or are null. Rows without words
+    are never taken. No rows give no rows; columns of any name stay as they
+    are."""
+    rows, key = with_rows(docs, "mix")
     copies = (
-        mix_sources(docs, id_col=id_col, **options)
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.min("copies").alias("_copies"))
-        .where(F.col("_copies") > 0)
-    )
-    return (
-        docs.join(copies, F.col(id_col).eqNullSafe(F.col("_id")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*[docs[c] for c in docs.columns])
+        mix_sources(rows, id_col, text_col, source_col, row_col=key, **options)
+        .where(F.col("copies") > 0)
+        .select(key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
+        .select(key)
     )
+    return rows.join(copies, key).drop(key)

@@ -13,6 +13,7 @@ from crashgrade.llm.common import normalised, stored, word_count
 
 CAPACITY = 2048
 SHARD_ITEMS = 2000
+COPIES_AT_ONCE = 10_000
 
 
 def best_fit(
@@ -76,7 +77,8 @@ def pack(
     """
     items = stored(
         docs.select(
-            F.col(id_col).alias("doc_id"),
+            # As text, which pandas keeps as it is, null or not.
+            F.col(id_col).cast("string").alias("doc_id"),
             F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("")).alias("source"),
             F.xxhash64(normalised(text_col)).alias("cluster"),
             word_count(text_col).alias("words"),
@@ -84,9 +86,20 @@ def pack(
         "items",
     )
     shards = max(1, -(-items.count() // shard_items))
-    # Copies of a row stay apart, so that a repeated id cannot fill a shard.
-    dealt = items.withColumn("salt", F.monotonically_increasing_id()).withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", "salt", F.lit(seed)), F.lit(shards))
+    # Equal rows are counted and numbered, so that copies of a row stay apart and
+    # the bins do not depend on files or cores. A row that comes very often is
+    # numbered by several tasks.
+    row = ["doc_id", "source", "cluster", "words"]
+    part = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES_AT_ONCE).cast("long"))
+    last = F.least(F.col("n"), (F.col("part") + 1) * COPIES_AT_ONCE) - 1
+    dealt = (
+        items.groupBy(*row)
+        .agg(F.count("*").alias("n"))
+        .select("*", F.explode(part).alias("part"))
+        .repartition(*row, "part")
+        .select(*row, F.explode(F.sequence(F.col("part") * COPIES_AT_ONCE, last)).alias("copy"))
+        .withColumn("salt", F.xxhash64(*row, "copy", F.lit(seed)))
+        .withColumn("shard", F.pmod("salt", F.lit(shards)))
     )
     full = (F.col("words") / capacity).cast("long")
     full = F.when(F.col("words") % capacity == 0, full).otherwise(full)
@@ -99,7 +112,7 @@ def pack(
         )
         return pd.DataFrame(
             {
-                "doc_id": pdf["doc_id"].astype("Int64"),
+                "doc_id": pdf["doc_id"],
                 "piece": pdf["n_full"],
                 "first_word": pdf["n_full"] * capacity,
                 "n_words": pdf["rest"],
@@ -108,7 +121,7 @@ def pack(
             }
         )
 
-    schema = "doc_id long, piece long, first_word long, n_words long, bin_id string, bin_at long"
+    schema = "doc_id string, piece long, first_word long, n_words long, bin_id string, bin_at long"
     packed = (
         cut.where(F.col("rest") > 0)
         .select("doc_id", "source", "cluster", "n_full", "rest", "shard")
@@ -123,7 +136,7 @@ def pack(
             "piece",
             (F.col("piece") * capacity).alias("first_word"),
             F.lit(capacity).cast("long").alias("n_words"),
-            F.concat_ws("-", "shard", "salt", F.concat(F.lit("full"), F.col("piece"))).alias("bin_id"),
+            F.concat_ws("-", "shard", "doc_id", "copy", F.hex("salt"), F.concat(F.lit("full"), F.col("piece"))).alias("bin_id"),
             F.lit(0).cast("long").alias("bin_at"),
         )
     )
@@ -135,4 +148,6 @@ def pack(
         F.lit(None).cast("string").alias("bin_id"),
         F.lit(None).cast("long").alias("bin_at"),
     )
-    return packed.unionByName(alone).unionByName(none)
+    kind = dict(docs.select(id_col).dtypes)[id_col]
+    whole = packed.unionByName(alone).unionByName(none)
+    return whole.withColumn("doc_id", F.col("doc_id").cast(kind))
