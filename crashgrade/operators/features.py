@@ -46,6 +46,11 @@ REGISTRY = [
     *_group("interaction", "rain_x_curves", "temp_x_curvature", "speed_x_lanes"),
     *_group("country", "country_flag", scaled=False),
 ]
+# Accidents as the sources report them have no road type of their own.
+SOURCE_REGISTRY = [
+    f for f in REGISTRY
+    if f.name not in ("road_error", "road_purchase", "road_signup", "road_view", "road_other")
+]
 INTERACTIONS = ("rain_x_curves", "temp_x_curvature", "speed_x_lanes")
 
 

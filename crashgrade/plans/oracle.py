@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 from crashgrade.functions.hexgrid import BORDER_LAT, EARTH_RADIUS_M, edge_length
-from crashgrade.operators.features import REGISTRY
+from crashgrade.operators.features import REGISTRY, SOURCE_REGISTRY
 from crashgrade.sources.derived import ACCIDENT_ROADS, BASE_EDGE_M, ROAD_TYPES, STANDARD_LATS
 
 
@@ -55,7 +55,7 @@ WITH road_features AS (
          CASE WHEN p_size > 40 THEN 'curve' WHEN p_size < 5 THEN 'signal'
               WHEN p_size = 10 THEN 'hospital' WHEN p_size IN (11, 12) THEN 'school'
               WHEN p_size IN (13, 14) THEN 'fuel' WHEN p_size = 20 THEN 'tunnel'
-              ELSE 'plain' END AS kind,
+              ELSE 'plain' END AS kind, o_custkey % 4 + 1 AS lanes,
          -23.70e0 + ({h('flat', 'l_orderkey')} % 4000) * 0.0001e0 AS lat,
          -46.80e0 + ({h('flon', 'l_orderkey')} % 4000) * 0.0001e0 AS lon
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
@@ -187,6 +187,107 @@ JOINED = f"""
 """
 
 
+# The source path: weather from four corners, roads from the finest cell.
+VARIABLES = ("temp_c", "dew_c", "wind_ms", "precip")
+CORNERS = (("(1 - up) * (1 - rgt)", 0, 0), ("(1 - up) * rgt", 0, 1), ("up * (1 - rgt)", 1, 0), ("up * rgt", 1, 1))
+
+
+def blended(v: str) -> str:
+    """Weighted mean over the corners that are known."""
+    top = " + ".join(f"coalesce(w{i}.{v} * ({w}), 0e0)" for i, (w, _, _) in enumerate(CORNERS))
+    low = " + ".join(f"CASE WHEN w{i}.{v} IS NOT NULL THEN {w} ELSE 0e0 END" for i, (w, _, _) in enumerate(CORNERS))
+    return f"CASE WHEN {low} > 0 THEN ({top}) / ({low}) END AS {v}"
+
+
+CASES = f"""
+, cases AS (
+  SELECT CASE country_flag WHEN 1 THEN 'us' ELSE 'br' END || '-' || accident_id AS case_id,
+         CASE country_flag WHEN 1 THEN 'us' ELSE 'br' END AS source, accident_id, accident_ts, lat, lon,
+         country_flag, cast(severity IN ('GRAVE', 'FATAL', '3', '4') AS bigint) AS severe,
+         accident_ts + to_hours(CASE country_flag WHEN 1 THEN 5 ELSE 3 END) AS utc_ts
+  FROM consolidated
+), hours AS (
+  SELECT date_trunc('hour', accident_ts + to_hours(CASE country_flag WHEN 1 THEN 5 ELSE 3 END)) AS hr,
+         cast(sum(cast(round(precip * 100) AS bigint)) AS double) / count(*) / 100e0 AS mean
+  FROM accidents GROUP BY 1
+), points AS (
+  SELECT hr, mean, point, cast(epoch(hr) AS bigint) // 3600 * 12 + point AS k
+  FROM hours, (SELECT unnest(range(12)) AS point)
+), lattice AS (
+  SELECT hr, point // 4 - 95 AS step_lat, point % 4 - 188 AS step_lon,
+         mean - 20e0 + ({h('lt', 'k')} % 100) / 10e0 AS temp_c,
+         mean - 20e0 + ({h('lt', 'k')} % 100) / 10e0 - ({h('ld', 'k')} % 150) / 10e0 AS dew_c,
+         ({h('lw', 'k')} % 300) / 10e0 AS wind_ms,
+         mean * ({h('lp', 'k')} % 21 + 90) / 100e0 AS precip
+  FROM points WHERE {h('lm', 'k')} % 40 <> 0
+), at_lattice AS (
+  SELECT *, cast(floor(lat * 4) AS bigint) AS y, cast(floor(lon * 4) AS bigint) AS x,
+         lat * 4 - floor(lat * 4) AS up, lon * 4 - floor(lon * 4) AS rgt, date_trunc('hour', utc_ts) AS hr
+  FROM cases
+), case_weather AS (
+  SELECT case_id, {', '.join(blended(v) for v in VARIABLES)}
+  FROM at_lattice a {' '.join(
+      f"LEFT JOIN lattice w{i} ON w{i}.hr = a.hr AND w{i}.step_lat = a.y + {n} AND w{i}.step_lon = a.x + {e}"
+      for i, (_, n, e) in enumerate(CORNERS))}
+)
+"""
+
+
+def variables(res: int) -> str:
+    return f"""SELECT cell_{res} AS cell, count(*) AS n_segments, sum(length_km) AS road_len,
+         sum(CASE WHEN road_type = 'ECONOMY' THEN length_km ELSE 0e0 END) AS bridge_len,
+         count(*) FILTER (road_type = 'ECONOMY') AS n_bridges,
+         count(*) FILTER (kind = 'curve') AS n_curves, count(*) FILTER (kind = 'signal') AS n_signals,
+         count(*) FILTER (kind = 'tunnel') AS n_tunnels, count(*) FILTER (kind = 'hospital') AS n_hospitals,
+         count(*) FILTER (kind = 'school') AS n_schools, count(*) FILTER (kind = 'fuel') AS n_fuel,
+         sum(length_km * speed) / sum(length_km) AS mean_speed, sum(length_km * lanes) / sum(length_km) AS lanes,
+         cast(count(*) FILTER (kind IN ('hospital', 'school', 'fuel')) >= 5 AS bigint) AS urban
+  FROM roads GROUP BY cell_{res}"""
+
+
+AMOUNTS = ("n_segments", "road_len", "n_curves", "n_bridges", "n_tunnels", "n_signals", "bridge_len")
+
+
+def finest(name: str, scaled: bool) -> str:
+    cases = " ".join(
+        f"WHEN c{r}.cell IS NOT NULL THEN " + (f"cast(c{r}.{name} AS double) / {7.0 ** (11 - r)}e0" if scaled else f"c{r}.{name}")
+        for r in (11, 10, 9)
+    )
+    return f"CASE {cases} {'ELSE 0e0 ' if scaled else ''}END AS {name}"
+
+
+SOURCE_NAMES = [f.name for f in SOURCE_REGISTRY]
+FROM_WEATHER = (*VARIABLES, "rain_x_curves", "temp_x_curvature")
+SOURCE_JOINED = CASES + f"""
+, found AS (
+  SELECT p.*, w.* EXCLUDE (case_id), {', '.join(finest(n, False) for n in ('mean_speed', 'lanes'))},
+         {', '.join(finest(n, True) for n in AMOUNTS)},
+         CASE WHEN c11.cell IS NOT NULL THEN 11 WHEN c10.cell IS NOT NULL THEN 10 WHEN c9.cell IS NOT NULL THEN 9 END
+           AS road_res,
+         {', '.join(f"coalesce(c9.{n}, 0) AS {n}" for n in ('n_hospitals', 'n_schools', 'n_fuel', 'urban'))},
+         {', '.join(f"coalesce(c{r}.road_len, 0e0) AS hex{r}_road_len" for r in (9, 10, 11))},
+         coalesce(c9.n_curves, 0) AS hex9_n_curves, coalesce(c10.bridge_len, 0e0) AS hex10_bridge_len, d.dominant
+  FROM (SELECT *, {CELLS} FROM cases) p JOIN case_weather w USING (case_id)
+  {' '.join(f"LEFT JOIN ({variables(r)}) c{r} ON c{r}.cell = p.cell_{r}" for r in (9, 10, 11))}
+  LEFT JOIN ({DOMINANT}) d ON d.cell_10 = p.cell_10
+), source_joined AS (
+  SELECT *, CASE WHEN {h('split', 'case_id')} % 1000 < 595 THEN 'train'
+                 WHEN {h('split', 'case_id')} % 1000 < 700 THEN 'meta' ELSE 'test' END AS part,
+         {TYPE_FLAGS}, {other('dominant', ROAD_TYPES, 'dominant_other')},
+         hour(accident_ts) AS hour, isodow(accident_ts) - 1 AS weekday, month(accident_ts) AS month,
+         cast(hour(accident_ts) IN (7, 8, 9, 17, 18, 19) AS bigint) AS rush_hour,
+         precip * n_curves AS rain_x_curves,
+         temp_c * coalesce(n_curves / nullif(road_len, 0e0), 0e0) AS temp_x_curvature,
+         mean_speed * lanes AS speed_x_lanes
+  FROM found
+)
+"""
+
+
+def tidy(names) -> str:
+    return ", ".join(f"round({n}, 6) AS {n}" if n in FROM_WEATHER else n for n in names)
+
+
 def fences(cols: tuple[str, ...], source: str) -> str:
     return " UNION ALL ".join(
         f"SELECT '{c}' AS feature, q1 - 1.5e0 * (q3 - q1) AS lower, q3 + 1.5e0 * (q3 - q1) AS upper "
@@ -493,6 +594,30 @@ def oracles() -> dict[str, str]:
     q["attach_weather"] = "SELECT accident_id, grid_id, temp_c, dew_c, wind_ms, n_obs FROM observed"
     q["joined_features"] = JOINED + "SELECT * FROM joined"
 
+    # The source path
+    q["audit_accidents"] = """SELECT source, outcome, count(*) AS n_rows FROM (
+        SELECT CASE country_flag WHEN 1 THEN 'us' ELSE 'br' END AS source,
+               CASE WHEN country_flag = 1 THEN 'accepted' ELSE coalesce(['short_line', 'bad_value',
+                 'unknown_severity', 'no_id', 'no_place'][accident_id % 50 + 1], 'accepted') END AS outcome
+        FROM accidents) GROUP BY ALL"""
+    q["source_cases"] = CASES + """SELECT * EXCLUDE (utc_ts) REPLACE (cast(accident_ts AS varchar)
+        AS accident_ts) FROM cases"""
+    q["lattice_weather"] = CASES + f"""SELECT cast(hr AS varchar) AS hr, step_lat, step_lon,
+        {tidy(VARIABLES)} FROM lattice"""
+    q["weather_at_place"] = CASES + f"SELECT case_id, {tidy(VARIABLES)} FROM case_weather"
+    q["cell_variables"] = " UNION ALL ".join(
+        f"""SELECT cast({r} AS bigint) AS res, c.*, dominant FROM ({variables(r)}) c
+        JOIN ({DOMINANT.replace('cell_10', f'cell_{r}')}) d ON d.cell_{r} = c.cell"""
+        for r in (9, 10, 11)
+    )
+    q["road_variables"] = SOURCE_JOINED + "SELECT case_id, cast(road_res AS bigint) AS road_res, " + ", ".join(
+        f.name for f in SOURCE_REGISTRY if f.group == "road") + " FROM source_joined"
+    q["source_features"] = SOURCE_JOINED + f"SELECT case_id, part, severe, {tidy(SOURCE_NAMES)} FROM source_joined"
+    q["source_split_audit"] = SOURCE_JOINED + """SELECT part, count(*) AS n_rows,
+        count(DISTINCT case_id) AS n_keys, cast(0 AS bigint) AS torn_keys,
+        cast(count(*) AS double) / (SELECT count(*) FROM source_joined) AS share,
+        cast(sum(severe) AS double) / count(*) AS severe_share FROM source_joined GROUP BY part"""
+
     # Cleaning and exploration
     q["outlier_bounds"] = JOINED + FENCED + "SELECT * FROM fences"
     q["remove_outliers"] = JOINED + FENCED + "SELECT accident_id, precip, temp_c, wind_ms FROM base"
@@ -586,15 +711,19 @@ def oracles() -> dict[str, str]:
           round(1e0 / (1e0 + exp(-2e0 * (cast(sum(2 * severe - 1) AS double) / count(*)))), 4) AS boosted
           FROM accidents GROUP BY rush_hour)
         SELECT accident_id, severe, logistic, forest, boosted FROM accidents JOIN levels USING (rush_hour)"""
-    q["score_one_flag"] = """, levels AS (SELECT rush_hour,
+    def scored_one_flag(key: str, source: str) -> str:
+        return f""", levels AS (SELECT rush_hour,
           cast(sum(severe) FILTER (part = 'train') AS double) / count(*) FILTER (part = 'train') AS logistic,
           cast(sum(severe) FILTER (part = 'meta') AS double) / count(*) FILTER (part = 'meta') AS stack
-          FROM accidents GROUP BY rush_hour)
-        , stacked AS (SELECT accident_id, part, severe, logistic, 'stack' AS model, stack AS p
-                      FROM accidents JOIN levels USING (rush_hour))
-        , cut AS (""" + best("(SELECT * FROM stacked WHERE part = 'meta')") + """)
-        SELECT accident_id, round(logistic, 4) AS logistic, round(p, 4) AS stack,
+          FROM {source} GROUP BY rush_hour)
+        , stacked AS (SELECT {key}, part, severe, logistic, 'stack' AS model, stack AS p
+                      FROM {source} JOIN levels USING (rush_hour))
+        , cut AS ({best("(SELECT * FROM stacked WHERE part = 'meta')")})
+        SELECT {key}, round(logistic, 4) AS logistic, round(p, 4) AS stack,
                cast(p >= threshold AS bigint) AS predicted FROM stacked, cut"""
+
+    q["score_one_flag"] = scored_one_flag("accident_id", "accidents")
+    q["score_accidents_one_flag"] = SOURCE_JOINED + scored_one_flag("case_id", "source_joined")
     q["fit_stack_one_score"] = """, odds AS (SELECT p,
           ln(cast(sum(severe) AS double) / sum(1 - severe)) AS logit
           FROM rules WHERE part = 'meta' AND model = 'rule_time' GROUP BY p),

@@ -17,9 +17,12 @@ from crashgrade.functions import interactions, temporal
 from crashgrade.functions.hexgrid import RESOLUTIONS
 from crashgrade.models import classifiers, discriminant, prepare, stack
 from crashgrade.operators import (
-    clean, collinear, explain, features, integrate, metrics, split, threshold,
+    cells, clean, collinear, explain, features, integrate, metrics, split, threshold,
 )
+from crashgrade.operators.weather import VARIABLES, to_utc
+from crashgrade.operators.weather import weather_at_place as weather_between
 from crashgrade.plans import artifacts, hypotheses
+from crashgrade.plans.source_path import CASE, SourceWorkspace, source_workspace
 from crashgrade.plans.workspace import KEY, OUTLIER_COLUMNS, Workspace, workspace
 from crashgrade.sources import derived, readers, sinks
 
@@ -289,6 +292,135 @@ def joined_features(ws):
     return ws.joined().select(KEY, "part", "severe", *names)
 
 
+# The source path: accidents as their sources report them
+
+
+def of_sources(ws: Workspace) -> SourceWorkspace:
+    return source_workspace(ws.spark, ws.folder)
+
+
+def _dirty_csv(ws: Workspace) -> str:
+    """The first country's accidents as lines, with faults by id: a field short,
+    a date that is none, a code that is not listed, no id, and no place."""
+    csv = [
+        F.col("id").cast("string"),
+        F.date_format("data_hora", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+        F.col("latitude").cast("string"),
+        F.col("longitude").cast("string"),
+        F.col("gravidade"),
+    ]
+    fault = F.col("id") % 50
+    lines = {
+        0: F.concat_ws(";", *csv[:4]),
+        1: F.concat_ws(";", csv[0], F.lit("31/31/2024"), *csv[2:]),
+        2: F.concat_ws(";", *csv[:4], F.lit("IGNORADO")),
+        3: F.concat_ws(";", F.lit(""), *csv[1:]),
+        4: F.concat_ws(";", *csv[:2], F.lit("95.5"), *csv[3:]),
+    }
+    line = F.concat_ws(";", *csv)
+    for k, broken in lines.items():
+        line = F.when(fault == k, broken).otherwise(line)
+    raw = ws.spark.read.parquet(ws.raw_accidents_path("br"))
+    return ws.stored_folder("dirty_csv", lambda to: raw.select(line.alias("value")).write.text(to))
+
+
+@query
+def audit_accidents(ws):
+    """Accepted and rejected rows of a faulty file and of a clean one."""
+    csv = {"sep": ";", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+    br = readers.read_accidents_audited(ws.spark, _dirty_csv(ws), "br", "csv", **csv)
+    us = readers.read_accidents_audited(ws.spark, ws.raw_accidents_path("us"), "us")
+    return readers.audit_counts(integrate.consolidate(br, us))
+
+
+@query
+def source_cases(ws):
+    """Accidents of both sources with their two-part key and their label."""
+    return of_sources(ws).cases().select(
+        CASE, "source", "accident_id", "accident_ts", "lat", "lon", "country_flag", "severe"
+    )
+
+
+@query
+def lattice_weather(ws):
+    return rounded(of_sources(ws).lattice(), *VARIABLES)
+
+
+@query
+def weather_at_place(ws):
+    """Weather between the lattice points around each accident, at its hour in UTC."""
+    cases = of_sources(ws).cases().withColumn("utc_ts", to_utc(F.col("accident_ts"), readers.utc_offset()))
+    found = weather_between(cases, of_sources(ws).lattice())
+    return rounded(cases.join(found, "row_id", "left"), *VARIABLES).select(CASE, *VARIABLES)
+
+
+@query
+def cell_variables(ws):
+    """Road variables of the cells of all resolutions, merged from the sums of
+    two halves of the roads."""
+    road = ws.with_cells(ws.road())
+    half = F.col("feature_id") % 2 == 0
+    sums = [cells.cell_sums(road.where(h), RESOLUTIONS, derived.BRIDGE_TYPE) for h in (half, ~half)]
+    return cells.cell_variables(cells.merge_sums(*sums))
+
+
+ROAD_GROUP = [f.name for f in features.SOURCE_REGISTRY if f.group == "road"]
+
+
+@query
+def road_variables(ws):
+    """Road variables of the finest cell around each accident that has roads."""
+    return of_sources(ws).joined().select(CASE, "road_res", *ROAD_GROUP)
+
+
+SOURCE_NAMES = [f.name for f in features.SOURCE_REGISTRY]
+FROM_WEATHER = [*VARIABLES, "rain_x_curves", "temp_x_curvature"]
+
+
+@query
+def source_features(ws):
+    """All candidate features on the source path."""
+    return rounded(of_sources(ws).joined(), *FROM_WEATHER).select(CASE, "part", "severe", *SOURCE_NAMES)
+
+
+@query
+def source_split_audit(ws):
+    return split.split_audit(of_sources(ws).joined(), CASE)
+
+
+@query
+def source_vif_trace(ws):
+    return of_sources(ws).vif_trace
+
+
+@query
+def source_compare_models(ws):
+    """The six models, trained on the source path, on its test rows."""
+    src = of_sources(ws)
+    return metrics.compare_models(src.long_scores("test"), src.thresholds())
+
+
+def _source_results(ws: Workspace) -> str:
+    src = of_sources(ws)
+    return src.stored_folder("results", lambda path: artifacts.store_source_results(src, path))
+
+
+@query
+def score_accidents(ws):
+    """Raw accidents of both sources scored from the store and the weather."""
+    src = of_sources(ws)
+    reports = readers.accepted(src.audited()).drop("row_id")
+    weather = readers.read_lattice_weather(ws.spark, src.lattice_path())
+    return artifacts.score_accidents(ws.spark, _source_results(ws), reports, weather)
+
+
+@query
+def score_accidents_one_flag(ws):
+    """The way of a raw accident with the rush hour as the only feature: features,
+    preparation, a base model, the stack of it, and the class at the tuned cut."""
+    return _scored_one_flag(of_sources(ws).joined(), CASE)
+
+
 # Cleaning and exploration
 
 
@@ -580,16 +712,19 @@ def base_scores_one_flag(ws):
 def score_one_flag(ws):
     """The whole way of a new row on one flag: preparation, a base model, the
     stack of it, and the class at the cut tuned on the meta holdout."""
-    rows = split.split3(ws.accidents(), KEY)
+    return _scored_one_flag(split.split3(ws.accidents(), KEY), KEY)
+
+
+def _scored_one_flag(rows: DataFrame, key: str) -> DataFrame:
     train, meta = (rows.where(F.col("part") == p) for p in ("train", "meta"))
-    cols, keep = ["rush_hour"], [KEY, "severe"]
+    cols, keep = ["rush_hour"], [key, "severe"]
     preparation = prepare.fit_preparation(train, cols, [])
     vectors = prepare.prepare(preparation, train, cols, keep)
     models = {"logistic": classifiers.fit_logistic(vectors, tolerance=1e-12)}
     unseen = classifiers.base_scores(models, prepare.prepare(preparation, meta, cols, keep))
     stacked = stack.fit_stack(unseen, list(models), tolerance=1e-12)
     cuts = threshold.tune_all(stack.stack_scores(stacked, unseen), [stack.STACK])
-    scored = stack.score(rows, preparation, models, stacked, cuts, cols, [KEY])
+    scored = stack.score(rows, preparation, models, stacked, cuts, cols, [key])
     return rounded(scored, "logistic", stack.STACK, digits=4)
 
 

@@ -40,11 +40,22 @@ def workspace(spark: SparkSession, folder: str) -> "Workspace":
     return _OPEN[key]
 
 
+def opened(spark: SparkSession, folder: str, kind: str, build: Callable[[], "Workspace"]) -> "Workspace":
+    """A workspace of another kind over the same input, built on first use."""
+    key = (spark.sparkContext.applicationId, f"{folder.rstrip('/')}#{kind}")
+    if key not in _OPEN:
+        _OPEN[key] = build()
+    return _OPEN[key]
+
+
 def forget(spark: SparkSession, folder: str) -> None:
     """Drops a workspace, so that the next use reads changed input anew."""
-    ws = _OPEN.pop((spark.sparkContext.applicationId, folder.rstrip("/")), None)
-    if ws is not None and "train" in ws.__dict__:
-        ws.train.unpersist()
+    name = folder.rstrip("/")
+    for app, path in list(_OPEN):
+        if app == spark.sparkContext.applicationId and path.split("#")[0] == name:
+            ws = _OPEN.pop((app, path))
+            if "train" in ws.__dict__:
+                ws.train.unpersist()
 
 
 # Forests draw their bags per partition, so the training rows lie in the same
@@ -61,6 +72,10 @@ def lay_out(df: DataFrame, key: str) -> DataFrame:
 
 
 class Workspace:
+    # What tells accidents apart, and the candidate features.
+    key = KEY
+    registry_list = features.REGISTRY
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
@@ -187,14 +202,14 @@ class Workspace:
 
     @cached_property
     def vif_trace(self) -> DataFrame:
-        names = [f.name for f in features.REGISTRY]
+        names = [f.name for f in self.registry_list]
         return collinear.vif_stepwise(self.train_rows(), names)
 
     @cached_property
     def accepted(self) -> list[features.Feature]:
         """Accepted features: scaled ones first, then 0/1 flags, as in the vector."""
         kept = {r["feature"] for r in self.vif_trace.where("kept").collect()}
-        chosen = [f for f in features.REGISTRY if f.name in kept]
+        chosen = [f for f in self.registry_list if f.name in kept]
         return [f for f in chosen if f.scaled] + [f for f in chosen if not f.scaled]
 
     @property
@@ -217,7 +232,7 @@ class Workspace:
             "vectors",
             lambda: prepare.prepare(
                 self.preparation, self.base(), self.feature_names,
-                [KEY, "part", "severe", "cell_9", "hour"],
+                [self.key, "part", "severe", "cell_9", "hour"],
             ),
             by="part",
         )
@@ -225,11 +240,11 @@ class Workspace:
     @cached_property
     def train(self) -> DataFrame:
         rows = self.vectors().where(F.col("part") == "train")
-        return lay_out(rows.select(KEY, "severe", "features"), KEY).persist()
+        return lay_out(rows.select(self.key, "severe", "features"), self.key).persist()
 
     @cached_property
     def early_stop(self) -> tuple[PipelineModel, list[tuple[int, int, float]]]:
-        return classifiers.fit_mlp_early_stop(self.train, len(self.accepted), KEY)
+        return classifiers.fit_mlp_early_stop(self.train, len(self.accepted), self.key)
 
     @cached_property
     def _fitted(self) -> dict[str, PipelineModel | Discriminant]:

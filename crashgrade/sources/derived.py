@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from crashgrade.functions import interactions, temporal
 from crashgrade.functions.hashing import salted_hash
 from crashgrade.operators.joins import join_dimension
+from crashgrade.operators.weather import PER_DEGREE, to_utc
+from crashgrade.sources.readers import utc_offset
 from crashgrade.sources.tables import table, table_with_row_id
 
 # Corner of the map square the points are spread over.
@@ -67,6 +69,7 @@ def road_features(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_quantity").alias("length_km"),
         F.col("p_size").alias("speed"),
         kind.alias("kind"),
+        (F.col("o_custkey") % 4 + 1).cast("bigint").alias("lanes"),
         lat.alias("lat"),
         lon.alias("lon"),
     )
@@ -131,6 +134,39 @@ def weather(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# South-western lattice point of the map square, in quarter degrees, and the
+# number of points north and east from there.
+LATTICE_SOUTH, LATTICE_WEST, LATTICE_ROWS, LATTICE_COLUMNS = -95, -188, 3, 4
+
+
+def lattice_weather(accidents: DataFrame) -> DataFrame:
+    """Hourly weather in UTC on the lattice around the map square, for the hours
+    in which there are accidents. It follows what was observed in the hour, with
+    a share of its own per point; one point in forty is missing."""
+    utc = to_utc(F.col("accident_ts"), utc_offset())
+    hours = accidents.groupBy(temporal.hour_floor(utc).alias("hr")).agg(
+        F.sum(F.round(F.col("precip") * 100).cast("bigint")).alias("centi"), F.count("*").alias("n")
+    )
+    n_points = LATTICE_ROWS * LATTICE_COLUMNS
+    points = hours.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))))
+    hour = F.expr("timestampdiff(HOUR, timestamp_ntz'1970-01-01 00:00:00', hr)")
+    points = points.withColumn("k", hour * n_points + F.col("point"))
+    k, mean = F.col("k"), F.col("centi").cast("double") / F.col("n") / 100.0
+    temp = mean - 20.0 + salted_hash("lt", k) % 100 / F.lit(10.0)
+    step = {
+        "lat": F.floor(F.col("point") / LATTICE_COLUMNS) + LATTICE_SOUTH,
+        "lon": F.col("point") % LATTICE_COLUMNS + LATTICE_WEST,
+    }
+    return points.where(salted_hash("lm", k) % 40 != 0).select(
+        "hr",
+        *[(s / F.lit(float(PER_DEGREE))).alias(c) for c, s in step.items()],
+        temp.alias("temp_c"),
+        (temp - salted_hash("ld", k) % 150 / F.lit(10.0)).alias("dew_c"),
+        (salted_hash("lw", k) % 300 / F.lit(10.0)).alias("wind_ms"),
+        (mean * (salted_hash("lp", k) % 21 + 90) / F.lit(100.0)).alias("precip"),
+    )
+
+
 def planted_score(bridge_len: Column, rush: Column, precip: Column, road_type: Column,
                   country: Column) -> Column:
     """True severity, in thousandths."""
