@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from crashgrade.functions.arithmetic import ratio
 from crashgrade.functions.hashing import salted_hash
 from crashgrade.operators.metrics import roc_auc
+from crashgrade.operators.ranks import exact_quantiles
 from crashgrade.operators.reshape import per_column
 from crashgrade.session import shared_folder
 
@@ -151,6 +152,76 @@ def effect_direction(
     )
 
 
+def _swapped(
+    df: DataFrame, column: str, values: dict[str, Column], score: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Adds a score per entry of `values`, with the column set to that value. The
+    rows are not repeated; everything else stays as it is."""
+    names = df.columns
+    for name, value in values.items():
+        moved = df.withColumn("_own", F.col(column)).withColumn(column, value)
+        df = score(moved).withColumnRenamed("p", name).withColumn(column, F.col("_own")).select(*names, name)
+        names = [*names, name]
+    return df
+
+
+def accumulated_effects(
+    df: DataFrame,
+    cols: Sequence[str],
+    score: Callable[[DataFrame], DataFrame],
+    bins: int = 10,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Accumulated local effects of numeric columns on any score: feature, bin,
+    low, high, n_rows, effect, ale, direction.
+
+    A column is cut at its quantiles, in at most `bins` bins. `effect` is the
+    mean change of the score from a bin's low to its high end, over the rows that
+    lie in it, all else as in those rows; so no row is scored where no row like it is. `ale` is
+    the sum of the effects up to the bin's high end, less its mean over all rows.
+    `direction` says whether the score rises over the whole range.
+
+    `score` adds the column `p` and keeps the columns `cols` and `keep`. Each
+    row is scored twice per column, side by side, in one pass; one row per bin is
+    collected by Spark. Rows without a value are left out of that column; a column
+    with a single value has no row."""
+    shares = {f"q{i}": i / bins for i in range(bins + 1)}
+    found = {r["feature"]: r for r in exact_quantiles(df, cols, shares).collect()}
+    edges = {c: sorted({found[c][q] for q in shares}) for c in cols if c in found}
+    edges = {c: e for c, e in edges.items() if len(e) > 1}
+    wide, used = df.select(*dict.fromkeys([*cols, *keep])), []
+    for i, (c, e) in enumerate(edges.items()):
+        v = F.col(c).cast("double")
+        at = F.array(*map(F.lit, e))
+        # The bin ends at the first edge that is not below the value.
+        below = F.filter(at, lambda x: x < v)  # noqa: B023
+        slot = F.greatest(F.lit(1), F.size(below))
+        wide = wide.withColumn(f"_bin{i}", F.when(v.isNotNull(), slot))
+        ends = {f"_{k}{i}": F.element_at(at, F.col(f"_bin{i}") + step) for k, step in (("low", 0), ("high", 1))}
+        wide = _swapped(wide, c, ends, score)
+        used.append(F.struct(F.lit(c).alias("feature"), F.col(f"_bin{i}").alias("bin"), (F.col(f"_high{i}") - F.col(f"_low{i}")).alias("change")))
+    schema = "feature string, bin int, low double, high double"
+    spans = [(c, k + 1, a, b) for c, e in edges.items() for k, (a, b) in enumerate(zip(e, e[1:]))]
+    table = df.sparkSession.createDataFrame(spans, schema)
+    changes = wide.select(F.inline(F.array(*used))) if used else table.select("feature", "bin", F.lit(0.0).alias("change"))
+    effects = changes.where(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(
+        F.count("*").alias("n_rows"), F.avg("change").alias("effect")
+    )
+    # At most `bins` rows per column.
+    upto = Window.partitionBy("feature").orderBy("bin")
+    whole = Window.partitionBy("feature")
+    known = table.join(effects, ["feature", "bin"], "left").withColumns(
+        {"n_rows": F.coalesce("n_rows", F.lit(0)), "effect": F.coalesce("effect", F.lit(0.0))}
+    )
+    summed = known.withColumn("_sum", F.sum("effect").over(upto))
+    middle = F.sum(F.col("n_rows") * (F.col("_sum") - F.col("effect") / 2.0)).over(whole) / F.sum("n_rows").over(whole)
+    total = F.sum("effect").over(whole)
+    return summed.select(
+        "feature", "bin", "low", "high", "n_rows", "effect", (F.col("_sum") - middle).alias("ale"),
+        F.when(total > 0, "raises").when(total < 0, "lowers").otherwise("neutral").alias("direction"),
+    )
+
+
 def project_2d(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """First two principal components of scaled columns, for every row."""
     assembled = VectorAssembler(inputCols=list(cols), outputCol="v").transform(df)

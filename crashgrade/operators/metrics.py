@@ -63,11 +63,12 @@ def matthews(conf: DataFrame) -> DataFrame:
 def score_counts(
     scored: DataFrame, by: Sequence[str] = ("model",), copies: str | None = None
 ) -> DataFrame:
-    """Severe and other rows per distinct score. A row may stand for several,
-    whose number is in the column `copies`."""
+    """Severe and other rows per distinct score; rows without a score are those
+    of the score null. A row may stand for several, whose number is in the
+    column `copies`."""
     n = F.col(copies) if copies else F.lit(1)
     return (
-        scored.where(is_scored(F.col("p")))
+        scored.withColumn("p", F.when(is_scored(F.col("p")), F.col("p")))
         .groupBy(*by, "p")
         .agg(
             F.sum(F.col("severe") * n).alias("pos"),
@@ -76,6 +77,12 @@ def score_counts(
     )
 
 
+def _unscored(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows without a score per group, which all have a row here."""
+    n = F.when(F.col("p").isNull(), F.col("pos") + F.col("neg")).otherwise(0)
+    return counts.groupBy(*by).agg(F.sum(n).alias("n_unscored"))
+
+
 def _auc(counts: DataFrame, by: Sequence[str], cuts: Sequence[float]) -> DataFrame:
     ranked = running_totals(counts, "p", ["pos", "neg"], by, cuts)
 
@@ -93,8 +100,12 @@ def roc_auc(
 ) -> DataFrame:
     """Share of (severe, not severe) pairs that the score puts in order; ties
     count half. Exact: rows are counted per distinct score, then ranked with
-    `running_totals`. Null if a class has no rows."""
-    return _auc(score_counts(scored, by, copies), by, cut_points(scored, ["p"]))
+    `running_totals`. Null if a class has no rows. `n_unscored` counts the rows
+    without a score, which are in no pair."""
+    counts = score_counts(scored, by, copies)
+    aucs = _auc(counts, by, cut_points(scored, ["p"]))
+    # One row per group on either side.
+    return _unscored(counts, by).join(aucs, list(by), "left").select(*by, "auc", "n_unscored")
 
 
 def _rates(scored: DataFrame, bins: int) -> DataFrame:
@@ -151,7 +162,9 @@ def proportional_chance(
 def compare_models(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
     """One row per model: its cut and all headline metrics, ranked by AUC.
 
-    Confusion and AUC both come from the counts per score, one shuffle.
+    Confusion and AUC both come from the counts per score, one shuffle. Models
+    without a score for some rows are measured on the others; `n_unscored` says
+    how many these are.
     """
     counts = score_counts(scored)
     cut = cut_of(thresholds)
@@ -165,11 +178,12 @@ def compare_models(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
         total("neg", flagged).alias("fp"),
         total("neg", ~flagged).alias("tn"),
         total("pos", ~flagged).alias("fn"),
+        F.sum(F.when(F.col("p").isNull(), F.col("pos") + F.col("neg")).otherwise(0)).alias("n_unscored"),
     )
     auc = _auc(counts, ["model"], cut_points(scored, ["p"]))
     return (
         prf_severe(balanced_accuracy(accuracy(conf)))
-        .join(auc, "model")
+        .join(auc, "model", "left")
         .select(
             "model",
             cut.alias("threshold"),
@@ -179,6 +193,7 @@ def compare_models(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
             "auc",
             # One row per model reaches this window.
             F.rank().over(Window.orderBy(F.desc("auc"))).alias("auc_rank"),
+            "n_unscored",
         )
     )
 

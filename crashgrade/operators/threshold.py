@@ -136,8 +136,9 @@ def apply_threshold(scored: DataFrame, thresholds: DataFrame | float) -> DataFra
 
 
 def threshold_gain(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """F1 at 0.5, at each model's given cut, and the gain in percentage points.
-    The cuts are to be tuned on other rows than `scored`."""
+    """F1 at 0.5, at each model's given cut, the gain in percentage points, and
+    the rows without a score, which are in none of these. The cuts are to be
+    tuned on other rows than `scored`."""
     truth, p, cut = F.col("severe") == 1, F.col("p"), F.col("threshold")
 
     def f1_at(c: Column) -> Column:
@@ -145,9 +146,13 @@ def threshold_gain(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
         return f1_of(tp, fp, fn)
 
     return (
-        scored.where(is_scored(p))
+        scored.withColumn("p", F.when(is_scored(p), p))
         .withColumn("threshold", cut_of(thresholds))
         .groupBy("model", "threshold")
-        .agg(f1_at(F.lit(0.5)).alias("f1_at_half"), f1_at(cut).alias("f1_at_cut"))
+        .agg(
+            f1_at(F.lit(0.5)).alias("f1_at_half"),
+            f1_at(cut).alias("f1_at_cut"),
+            F.count_if(p.isNull()).alias("n_unscored"),
+        )
         .withColumn("gain_points", (F.col("f1_at_cut") - F.col("f1_at_half")) * 100.0)
     )

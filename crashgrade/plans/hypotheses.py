@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crashgrade.functions.arithmetic import ratio
+from crashgrade.operators.paired_auc import SIGNIFICANT, lead
 
 NONLINEAR = ("boosted", "mlp")
 LINEAR = ("logistic", "lda")
@@ -90,30 +91,69 @@ def country_controls(df: DataFrame, coefficients: DataFrame) -> DataFrame:
                     F.col("br"), held)
 
 
+def country_effect(tests: DataFrame, significant: float = SIGNIFICANT) -> DataFrame:
+    """Hypothesis 3: the country shifts severity beside all other features.
+    Confirmed when the flag's coefficient in the model is `significant` standard
+    errors or more from 0 (shown: their number, and the limit)."""
+    z = F.max(F.when(F.col("feature") == "country_flag", F.abs(F.col("z"))))
+    found = tests.agg(z.alias("z"))
+    held = F.coalesce(F.col("z") >= significant, F.lit(False))
+    return _verdict(found, 3, "country is a control with an effect of its own", F.col("z"),
+                    F.lit(significant), held)
+
+
 def _best(models: Sequence[str], metric: str) -> Column:
     return F.max(F.when(F.col("model").isin(*models), F.col(metric)))
 
 
-def nonlinear_over_linear(compared: DataFrame) -> DataFrame:
-    """Hypothesis 4: the best non-linear AUC against the best linear one."""
-    best = compared.agg(_best(NONLINEAR, "auc").alias("curved"), _best(LINEAR, "auc").alias("flat"))
-    curved, flat = F.col("curved"), F.col("flat")
-    return _verdict(best, 4, "non-linear models exceed linear ones in AUC", curved, flat,
-                    curved > flat)
+def _top(condition: Column, metric: str = "auc") -> Column:
+    """Metric and name of the best of some models."""
+    return F.max(F.when(condition, F.struct(F.col(metric).alias("value"), F.col("model").alias("name"))))
+
+
+def _leads(best: DataFrame, pairs: DataFrame | None, better: str, worse: str, significant: float) -> DataFrame:
+    """Adds `leads`: is the lead in AUC significant in the paired test? Without
+    a table of pairs any lead counts."""
+    if pairs is None:
+        return best.withColumn("leads", F.lit(True))
+    z = lead(pairs).select(F.col("better").alias("_b"), F.col("worse").alias("_w"), F.col("z").alias("_z"))
+    same = (F.col(f"{better}.name") == F.col("_b")) & (F.col(f"{worse}.name") == F.col("_w"))
+    # One row against one per pair of models.
+    return best.join(F.broadcast(z), same, "left").withColumn(
+        "leads", F.coalesce(F.col("_z") >= significant, F.lit(False))
+    )
+
+
+def nonlinear_over_linear(
+    compared: DataFrame, pairs: DataFrame | None = None, significant: float = SIGNIFICANT
+) -> DataFrame:
+    """Hypothesis 4: the best non-linear AUC against the best linear one. With
+    the paired tests of `paired_auc`, only a significant lead confirms it."""
+    best = compared.agg(
+        _top(F.col("model").isin(*NONLINEAR)).alias("curved"), _top(F.col("model").isin(*LINEAR)).alias("flat")
+    )
+    curved, flat = F.col("curved.value"), F.col("flat.value")
+    return _verdict(_leads(best, pairs, "curved", "flat", significant), 4,
+                    "non-linear models exceed linear ones in AUC", curved, flat,
+                    (curved > flat) & F.col("leads"))
 
 
-def stack_over_best(compared: DataFrame) -> DataFrame:
-    """Hypothesis 5: the stack against the best single model, in AUC and F1."""
+def stack_over_best(
+    compared: DataFrame, pairs: DataFrame | None = None, significant: float = SIGNIFICANT
+) -> DataFrame:
+    """Hypothesis 5: the stack against the best single model, in AUC and F1. With
+    the paired tests, only a significant lead in AUC confirms it."""
     singles = F.col("model") != "stack"
     best = compared.agg(
-        _best(["stack"], "auc").alias("stack_auc"),
+        _top(~singles).alias("stack"),
+        _top(singles).alias("single"),
         _best(["stack"], "f1").alias("stack_f1"),
-        F.max(F.when(singles, F.col("auc"))).alias("best_auc"),
         F.max(F.when(singles, F.col("f1"))).alias("best_f1"),
     )
-    confirmed = (F.col("stack_auc") > F.col("best_auc")) & (F.col("stack_f1") > F.col("best_f1"))
-    return _verdict(best, 5, "the stack exceeds every single model in AUC and F1",
-                    F.col("stack_auc"), F.col("best_auc"), confirmed)
+    ours, theirs = F.col("stack.value"), F.col("single.value")
+    confirmed = (ours > theirs) & (F.col("stack_f1") > F.col("best_f1")) & F.col("leads")
+    return _verdict(_leads(best, pairs, "stack", "single", significant), 5,
+                    "the stack exceeds every single model in AUC and F1", ours, theirs, confirmed)
 
 
 def report(*verdicts: DataFrame) -> DataFrame:

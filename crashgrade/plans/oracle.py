@@ -346,7 +346,7 @@ AT_HALF = CONFUSION.format(cut="0.5e0", source="rules")
 # Average ranks, doubled to stay whole.
 AUC = """
   SELECT model, cast(sum(severe * (2 * low + ties + 1)) - n1 * (n1 + 1) AS double)
-                / cast(2 * n1 * n0 AS double) AS auc
+                / cast(2 * n1 * n0 AS double) AS auc, cast(0 AS bigint) AS n_unscored
   FROM (SELECT model, severe, rank() OVER (PARTITION BY model ORDER BY p) - 1 AS low,
                count(*) OVER (PARTITION BY model, p) AS ties,
                sum(severe) OVER (PARTITION BY model) AS n1,
@@ -372,11 +372,11 @@ def compared(part: str) -> str:
   FROM (SELECT model, threshold, cast(tp + tn AS double) / (tp + fp + tn + fn) AS accuracy,
                (cast(tp AS double) / (tp + fn) + cast(tn AS double) / (tn + fp)) / 2e0
                  AS balanced_accuracy,
-               cast(2 * tp AS double) / (2 * tp + fp + fn) AS f1, auc
+               cast(2 * tp AS double) / (2 * tp + fp + fn) AS f1, auc, n_unscored
         FROM ({CONFUSION.format(cut='cut', source=f'''(SELECT r.*, t.threshold AS cut
               FROM {source} r JOIN ({cuts}) t USING (model))''')})
         JOIN ({cuts.replace(', f1', '', 1)}) USING (model)
-        JOIN ({AUC.format(source=source)}) USING (model))
+        JOIN (SELECT model, auc FROM ({AUC.format(source=source)})) USING (model))
 """
 
 
@@ -465,12 +465,10 @@ TREE2 = """
     FROM (SELECT 'bridge_len' AS feature, 'road' AS feature_group, round(of_a, 6) AS importance FROM share
           UNION ALL SELECT 'precip', 'climate', round(1e0 - of_a, 6) FROM share))
 """
-RATES = """
-, rates AS (SELECT cast(sum(severe) FILTER (country_flag = 1) AS double) AS x1,
-                   cast(count(*) FILTER (country_flag = 1) AS double) AS n1,
-                   cast(sum(severe) FILTER (country_flag = 0) AS double) AS x0,
-                   cast(count(*) FILTER (country_flag = 0) AS double) AS n0 FROM accidents)
-"""
+# n<severe><flag>
+COUNTS = ", counts AS (SELECT " + ", ".join(
+    f"cast(count(*) FILTER (severe = {s} AND {{flag}} = {f}) AS double) AS n{s}{f}" for s in (0, 1) for f in (0, 1)
+) + " FROM accidents)\n"
 
 
 def verdict(number: int, statement: str, left: str, right: str, confirmed: str, source: str) -> str:
@@ -500,6 +498,49 @@ CONTRIBUTIONS = "SELECT accident_id, " + ", ".join(
 ) + " FROM accidents"
 
 
+RULES = ("rule", "rule_rain", "rule_time")
+PAIRS = [(a, b) for i, a in enumerate(RULES) for b in RULES[i + 1 :]]
+# Placement values by running counts; the variance of a difference of AUCs is
+# that of the differences of the placements.
+PAIRED = f"""
+, run AS (SELECT accident_id, severe, model,
+    sum(1 - severe) OVER (PARTITION BY model ORDER BY p) AS neg_upto, sum(1 - severe) OVER (PARTITION BY model, p) AS neg_tied,
+    sum(severe) OVER (PARTITION BY model ORDER BY p) AS pos_upto, sum(severe) OVER (PARTITION BY model, p) AS pos_tied,
+    sum(severe) OVER (PARTITION BY model) AS n1, sum(1 - severe) OVER (PARTITION BY model) AS n0
+    FROM rules WHERE part = 'test')
+, placed_scores AS (SELECT accident_id, severe, {', '.join(
+    f"max(v) FILTER (model = '{m}') AS {m}" for m in RULES)}
+  FROM (SELECT *, CASE WHEN severe = 1 THEN (neg_upto - neg_tied / 2e0) / n0
+                       ELSE (n1 - pos_upto + pos_tied / 2e0) / n1 END AS v FROM run)
+  GROUP BY accident_id, severe)
+, paired AS ({' UNION ALL '.join(
+    f"""SELECT '{a}' AS model_a, '{b}' AS model_b, auc_a, auc_b, auc_a - auc_b AS difference, std_error,
+          (auc_a - auc_b) / std_error AS z
+        FROM (SELECT avg({a}) FILTER (severe = 1) AS auc_a, avg({b}) FILTER (severe = 1) AS auc_b,
+                sqrt(var_samp({a} - {b}) FILTER (severe = 1) / count(*) FILTER (severe = 1)
+                     + var_samp({a} - {b}) FILTER (severe = 0) / count(*) FILTER (severe = 0)) AS std_error
+              FROM placed_scores)""" for a, b in PAIRS)})
+"""
+
+
+def local_effects(column: str, others: str, bins: int = 5) -> str:
+    """Mean change of the planted score across each quantile bin of a column."""
+    edges = ", ".join(f"quantile_cont({column}, {i / bins})" for i in range(bins + 1))
+    low, high = (planted(**{column: f"e[bin{step}]"}) for step in ("", " + 1"))
+    return f"""
+  SELECT '{column}' AS feature, bin, low, high, n_rows, effect,
+         upto - sum(n_rows * (upto - effect / 2e0)) OVER () / sum(n_rows) OVER () AS ale,
+         CASE WHEN sum(effect) OVER () > 0 THEN 'raises' WHEN sum(effect) OVER () < 0 THEN 'lowers' ELSE 'neutral' END
+           AS direction
+  FROM (SELECT *, sum(effect) OVER (ORDER BY bin) AS upto FROM (
+    SELECT bin, any_value(e[bin]) AS low, any_value(e[bin + 1]) AS high, count(*) AS n_rows,
+           avg(cast({high} AS double) - cast({low} AS double)) AS effect
+    FROM (SELECT {column}, {others}, e, greatest(1, len(list_filter(e, lambda x: x < {column}))) AS bin
+          FROM accidents, (SELECT list_sort(list_distinct([{edges}])) AS e FROM accidents))
+    GROUP BY bin))
+"""
+
+
 def rate_gap(name: str, condition: str) -> str:
     return f"""
   SELECT *, CASE WHEN share_with > share_without THEN 'raises'
@@ -620,6 +661,8 @@ def oracles() -> dict[str, str]:
 
     # Cleaning and exploration
     q["outlier_bounds"] = JOINED + FENCED + "SELECT * FROM fences"
+    q["outlier_bounds_sketch"] = "SELECT unnest([" + ", ".join(f"'{c}'" for c in OUTLIERS) + (
+        "]) AS feature, cast(1 AS bigint) AS q1_near, cast(1 AS bigint) AS q3_near")
     q["remove_outliers"] = JOINED + FENCED + "SELECT accident_id, precip, temp_c, wind_ms FROM base"
     q["binarise_severity"] = """SELECT accident_id, severity,
         cast(severity IN ('GRAVE', 'FATAL', '3', '4') AS bigint) AS severe FROM consolidated"""
@@ -693,6 +736,14 @@ def oracles() -> dict[str, str]:
              / count(*) FILTER (severe = 0 AND rush_hour = 1)) AS during FROM accidents)
         SELECT '(intercept)' AS feature, round(without, 4) AS coefficient FROM odds
         UNION ALL SELECT 'rush_hour', round(during - without, 4) FROM odds"""
+    q["wald_one_flag"] = COUNTS.format(flag="rush_hour") + """SELECT 'rush_hour' AS feature,
+        round(ln(n11 / n01 * n00 / n10), 4) AS coefficient,
+        round(sqrt(1e0 / n00 + 1e0 / n01 + 1e0 / n10 + 1e0 / n11), 4) AS std_error FROM counts
+        UNION ALL SELECT '(intercept)', round(ln(n10 / n00), 4), round(sqrt(1e0 / n00 + 1e0 / n10), 4) FROM counts"""
+    q["fit_mlp_early_stop_one_flag"] = f"""SELECT rush_hour, any_value(n) AS n_rows, {{share}} AS lowest, {{share}} AS highest
+        FROM (SELECT *, count(*) OVER (PARTITION BY rush_hour) AS n FROM accidents)
+        WHERE {h('valid', 'accident_id')} % 1000 >= 100 GROUP BY rush_hour""".format(
+        share="round(cast(sum(severe) AS double) / count(*), 2)")
     per_flag = """SELECT rush_hour, count(*) AS n_rows, round({p}, 6) AS lowest,
         round({p}, 6) AS highest FROM accidents GROUP BY rush_hour"""
     weight = "(SELECT cast(sum(1 - severe) AS double) / sum(severe) FROM accidents)"
@@ -765,7 +816,7 @@ def oracles() -> dict[str, str]:
         for at in ("0.5e0", "threshold")
     )
     q["threshold_gain"] = f"""SELECT model, own.threshold, half.f1 AS f1_at_half, own.f1 AS f1_at_cut,
-        (own.f1 - half.f1) * 100e0 AS gain_points FROM ({own}) own JOIN ({half}) half USING (model)"""
+        (own.f1 - half.f1) * 100e0 AS gain_points, cast(0 AS bigint) AS n_unscored FROM ({own}) own JOIN ({half}) half USING (model)"""
 
     # Evaluation
     q["confusion"] = AT_HALF
@@ -782,6 +833,8 @@ def oracles() -> dict[str, str]:
         / nullif(sqrt(cast(tp + fp AS double) * (tp + fn)) * sqrt(cast(tn + fp AS double) * (tn + fn)),
                  0e0), 0e0), 6) AS matthews FROM ({AT_HALF})"""
     q["roc_auc"] = AUC.format(source="rules")
+    q["paired_auc_rules"] = PAIRED + "SELECT model_a, model_b, " + ", ".join(
+        f"round({c}, 7) AS {c}" for c in ("auc_a", "auc_b", "difference", "std_error", "z")) + " FROM paired"
     q["roc_points"] = f"""SELECT model, bin, cast(fp AS double) / all_neg AS false_positive_rate,
         cast(tp AS double) / all_pos AS true_positive_rate FROM ({POINTS})"""
     q["pr_points"] = f"""SELECT model, bin, cast(tp AS double) / nullif(tp + fp, 0) AS precision,
@@ -804,6 +857,10 @@ def oracles() -> dict[str, str]:
     q["shap_summary"] = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, round(avg(abs({c})), 6) AS mean_abs FROM ({CONTRIBUTIONS})"
         for c in SHAP)
+    q["accumulated_effects"] = f"""SELECT feature, cast(bin AS bigint) AS bin, round(low, 6) AS low,
+        round(high, 6) AS high, n_rows, round(effect, 6) AS effect, round(ale, 6) AS ale, direction
+        FROM ({local_effects('bridge_len', 'rush_hour, precip, road_type, country_flag')} UNION ALL
+              {local_effects('precip', 'rush_hour, bridge_len, road_type, country_flag')})"""
     q["effect_direction"] = " UNION ALL ".join(
         [rate_gap("rush_hour", "rush_hour = 1"), rate_gap("country_flag", "country_flag = 1")]
         + [rate_gap(f"road_{r}", f"road_type = '{r}'") for r in ACCIDENT_ROADS])
@@ -823,7 +880,12 @@ def oracles() -> dict[str, str]:
                round(CASE WHEN same THEN across ELSE along END, 5) AS y FROM points"""
 
     # Hypotheses
-    cast = f", cast_rules AS (SELECT * FROM ({compared('test')}))"
+    cast = PAIRED + f""", cast_rules AS (SELECT * FROM ({compared('test')}))
+        , led AS (SELECT model_a AS better, model_b AS worse, z FROM paired
+                  UNION ALL SELECT model_b, model_a, -z FROM paired)"""
+
+    def leads(better: str, worse: str) -> str:
+        return f"coalesce((SELECT max(z) FROM led WHERE better = '{better}' AND worse = '{worse}') >= 1.96e0, false)"
 
     def of(model: str, metric: str) -> str:
         return f"max({metric}) FILTER (model = '{model}')"
@@ -831,6 +893,7 @@ def oracles() -> dict[str, str]:
     singles = "greatest({0}, {1})"
     best_auc = singles.format(of("rule", "auc"), of("rule_rain", "auc"))
     best_f1 = singles.format(of("rule", "f1"), of("rule_rain", "f1"))
+    wald = "(abs(ln(n11 / n01 * n00 / n10)) / sqrt(1e0 / n00 + 1e0 / n01 + 1e0 / n10 + 1e0 / n11))"
     answers = {
         "hyp_road_over_climate_two_flags": (TREE2, verdict(
             1, "road importance exceeds climate importance",
@@ -841,20 +904,21 @@ def oracles() -> dict[str, str]:
         "hyp_interactions_three": (VERDICTS, verdict(
             2, "climate and road interactions pass the VIF limit", "sum(accepted)", "count(*)",
             "sum(accepted) = count(*)", "verdicts WHERE feature = 'rain_x_curves'")),
-        "hyp_country_one_flag": (RATES, verdict(
-            3, "country is a control with an effect of its own", "x1 / n1", "x0 / n0",
-            """x1 / n1 <> x0 / n0 AND abs(x1 / n1 - x0 / n0) >= 1.96e0 * sqrt((x1 + x0) / (n1 + n0)
-               * (1e0 - (x1 + x0) / (n1 + n0)) * (1e0 / n1 + 1e0 / n0))""", "rates")),
+        "hyp_country_one_flag": (COUNTS.format(flag="country_flag"), verdict(
+            3, "country is a control with an effect of its own", f"round({wald}, 4)", "1.96e0",
+            f"{wald} >= 1.96e0", "counts")),
         "hyp_nonlinear_rules": (cast, verdict(
             4, "non-linear models exceed linear ones in AUC", of("rule", "auc"), of("rule_rain", "auc"),
-            f"{of('rule', 'auc')} > {of('rule_rain', 'auc')}", "cast_rules")),
+            f"{of('rule', 'auc')} > {of('rule_rain', 'auc')} AND {leads('rule', 'rule_rain')}", "cast_rules")),
         "hyp_stack_rules": (cast, verdict(
             5, "the stack exceeds every single model in AUC and F1", of("rule_time", "auc"), best_auc,
-            f"{of('rule_time', 'auc')} > {best_auc} AND {of('rule_time', 'f1')} > {best_f1}", "cast_rules")),
+            f"""{of('rule_time', 'auc')} > {best_auc} AND {of('rule_time', 'f1')} > {best_f1}
+               AND CASE WHEN {of('rule', 'auc')} > {of('rule_rain', 'auc')} THEN {leads('rule_time', 'rule')}
+                        ELSE {leads('rule_time', 'rule_rain')} END""", "cast_rules")),
     }
     for name, (tables, body) in answers.items():
         q[name] = tables + body
-    q["hypothesis_report_rules"] = TREE2 + VERDICTS + RATES + cast + " UNION ALL ".join(
+    q["hypothesis_report_rules"] = TREE2 + VERDICTS + COUNTS.format(flag="country_flag") + cast + " UNION ALL ".join(
         body for _, body in answers.values()
     )
     q["hyp_country"] = """SELECT country_flag, count(*) AS n_rows,

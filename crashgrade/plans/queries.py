@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 
 from crashgrade.functions import interactions, temporal
 from crashgrade.functions.hexgrid import RESOLUTIONS
-from crashgrade.models import classifiers, discriminant, prepare, stack
+from crashgrade.models import classifiers, discriminant, inference, prepare, stack
 from crashgrade.operators import (
-    cells, clean, collinear, explain, features, integrate, metrics, split, threshold,
+    cells, clean, collinear, explain, features, fences, integrate, metrics, paired_auc, split, threshold,
 )
 from crashgrade.operators.weather import VARIABLES, to_utc
 from crashgrade.operators.weather import weather_at_place as weather_between
 from crashgrade.plans import artifacts, hypotheses
 from crashgrade.plans.source_path import CASE, SourceWorkspace, source_workspace
-from crashgrade.plans.workspace import KEY, OUTLIER_COLUMNS, Workspace, workspace
+from crashgrade.plans.workspace import KEY, OUTLIER_COLUMNS, Workspace, lay_out, workspace
 from crashgrade.sources import derived, readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,6 +429,18 @@ def outlier_bounds(ws):
     return clean.outlier_bounds(ws.joined(), OUTLIER_COLUMNS)
 
 
+@query
+def outlier_bounds_sketch(ws):
+    """Sketches per part of the split, stored and merged: are the quartiles behind
+    the fences within 0.1% of their ranks?"""
+    rows = ws.joined()
+    parts = ws.table("sketches", lambda: fences.column_sketches(rows, OUTLIER_COLUMNS, ["part"]))
+    quartiles = fences.sketched_quartiles(fences.merge_sketches(parts))
+    errors = fences.rank_errors(rows, quartiles)
+    near = {c: (F.col(c) <= 0.001).cast("int") for c in ("q1_error", "q3_error")}
+    return errors.withColumns(near).withColumnsRenamed({"q1_error": "q1_near", "q3_error": "q3_near"})
+
+
 @query
 def remove_outliers(ws):
     bounds = clean.outlier_bounds(ws.joined(), OUTLIER_COLUMNS)
@@ -674,6 +686,19 @@ def fit_logistic_one_flag(ws):
     return rounded(_logistic_table(ws, "rush_hour"), "coefficient", digits=4)
 
 
+@query
+def wald_one_flag(ws):
+    """Coefficients of one flag with their standard errors, which have a closed form."""
+    tests = inference.wald_tests(_one_flag(ws), ["rush_hour"])
+    return rounded(tests.select("feature", "coefficient", "std_error"), "coefficient", "std_error", digits=4)
+
+
+@query
+def wald_tests(ws):
+    """Each feature beside all others: coefficient, error, z and p value."""
+    return inference.wald_tests(ws.train, ws.feature_names)
+
+
 @query
 def fit_forest_one_flag(ws):
     """One tree over all rows scores the weighted severe share of each level."""
@@ -785,6 +810,17 @@ def fit_mlp_early_stop(ws):
     )
 
 
+@query
+def fit_mlp_early_stop_one_flag(ws):
+    """Early stopping without a hidden layer, all rows of equal weight: the
+    network of the best round scores the severe share of the rows it learns from."""
+    rows = _one_flag(ws).select(KEY, "severe", "rush_hour", "features")
+    model, _ = classifiers.fit_mlp_early_stop(
+        lay_out(rows, KEY).persist(), 1, KEY, hidden=(), step=100, tolerance=1e-7, balanced=False, block_rows=1
+    )
+    return _score_per_flag(ws, model, 2)
+
+
 @query
 def class_weights(ws):
     train = split.split3(ws.accidents(), KEY).where(F.col("part") == "train")
@@ -956,6 +992,23 @@ def chance_models(ws):
     return metrics.proportional_chance(test, metrics.confusion(predicted))
 
 
+@query
+def paired_auc_rules(ws):
+    """Do the rule scores differ in AUC on the test rows?"""
+    return rounded(_paired_rules(ws), "auc_a", "auc_b", "difference", "std_error", "z", digits=7)
+
+
+def _paired_rules(ws: Workspace) -> DataFrame:
+    test = rule_scores(ws).where(F.col("part") == "test")
+    return paired_auc.paired_auc(test, RULES, KEY)
+
+
+@query
+def paired_auc_models(ws):
+    test = ws.scores().where(F.col("part") == "test")
+    return paired_auc.paired_auc(test, stack.ALL_MODELS, KEY)
+
+
 def _compare_rules(ws: Workspace, part: str) -> DataFrame:
     cuts = threshold.tune_all(rule_scores(ws).where(F.col("part") == "meta"), RULES)
     return metrics.compare_models(rules_long(ws, part), cuts)
@@ -1097,6 +1150,51 @@ def effect_direction_models(ws):
     return explain.effect_direction(ws.base(), flags, coefficients)
 
 
+def _planted_rule(df: DataFrame) -> DataFrame:
+    planted = derived.planted_score(
+        F.col("bridge_len"), F.col("rush_hour"), F.col("precip"), F.col("road_type"), F.col("country_flag")
+    )
+    return df.withColumn("p", planted.cast("double"))
+
+
+@query
+def accumulated_effects(ws):
+    """How the planted score moves along two of its columns."""
+    keep = ["rush_hour", "road_type", "country_flag"]
+    found = explain.accumulated_effects(ws.accidents(), ["bridge_len", "precip"], _planted_rule, 5, keep)
+    return rounded(found, "low", "high", "effect", "ale")
+
+
+def _model_score(ws: Workspace, name: str):
+    """Scores rows by a fitted model; columns other than the vector stay."""
+    model, cols = ws.model(name), ws.feature_names
+
+    def score(df: DataFrame) -> DataFrame:
+        names = df.columns
+        vectors = ws.preparation.transform(prepare.as_doubles(df, cols))
+        return classifiers.add_score(vectors, model, "p").select(*names, "p")
+
+    return score
+
+
+@query
+def accumulated_effects_boosted(ws):
+    """Direction of the boosted trees along their most important numeric features."""
+    scaled = [f.name for f in ws.accepted if f.scaled]
+    ranked = explain.tree_importance(ws.spark, ws.model("boosted").stages[-1], ws.feature_names)
+    top = [r["feature"] for r in ranked.orderBy("importance_rank").collect() if r["feature"] in scaled][:4]
+    test = prepare.as_doubles(ws.base().where(F.col("part") == "test"), ws.feature_names)
+    return explain.accumulated_effects(test, top, _model_score(ws, "boosted"), 10, ws.feature_names)
+
+
+@query
+def accumulated_effects_mlp(ws):
+    """Direction of the network along weather and road length."""
+    names = [f.name for f in ws.accepted if f.name in ("precip", "temp_c", "bridge_len")]
+    test = prepare.as_doubles(ws.base().where(F.col("part") == "test"), ws.feature_names)
+    return explain.accumulated_effects(test, names, _model_score(ws, "mlp"), 10, ws.feature_names)
+
+
 @query
 def project_2d(ws):
     cols = [f.name for f in ws.accepted if f.scaled]
@@ -1129,7 +1227,8 @@ def hyp_interactions_three(ws):
 
 @query
 def hyp_country_one_flag(ws):
-    return hypotheses.country_controls(ws.accidents(), _logistic_table(ws, "country_flag"))
+    tests = inference.wald_tests(_one_flag(ws, "country_flag"), ["country_flag"])
+    return rounded(hypotheses.country_effect(tests), "left_value", digits=4)
 
 
 def _cast_rules(ws: Workspace) -> DataFrame:
@@ -1139,14 +1238,20 @@ def _cast_rules(ws: Workspace) -> DataFrame:
     return compared.replace(parts, subset=["model"])
 
 
+def _cast_pairs(ws: Workspace) -> DataFrame:
+    parts = {"rule": "boosted", "rule_rain": "logistic", "rule_time": stack.STACK}
+    pairs = ws.table("paired_rules", lambda: _paired_rules(ws))
+    return pairs.replace(parts, subset=["model_a", "model_b"])
+
+
 @query
 def hyp_nonlinear_rules(ws):
-    return hypotheses.nonlinear_over_linear(_cast_rules(ws))
+    return hypotheses.nonlinear_over_linear(_cast_rules(ws), _cast_pairs(ws))
 
 
 @query
 def hyp_stack_rules(ws):
-    return hypotheses.stack_over_best(_cast_rules(ws))
+    return hypotheses.stack_over_best(_cast_rules(ws), _cast_pairs(ws))
 
 
 @query
@@ -1178,14 +1283,24 @@ def hyp_country_control(ws):
     return hypotheses.country_controls(ws.accidents(), fit_logistic(ws))
 
 
+@query
+def hyp_country_wald(ws):
+    """The country flag beside all other features."""
+    return hypotheses.country_effect(wald_tests(ws))
+
+
+def _pairs(ws: Workspace) -> DataFrame:
+    return ws.table("paired", lambda: paired_auc_models(ws))
+
+
 @query
 def hyp_nonlinear(ws):
-    return hypotheses.nonlinear_over_linear(compare_models(ws))
+    return hypotheses.nonlinear_over_linear(compare_models(ws), _pairs(ws))
 
 
 @query
 def hyp_stack(ws):
-    return hypotheses.stack_over_best(compare_models(ws))
+    return hypotheses.stack_over_best(compare_models(ws), _pairs(ws))
 
 
 @query
@@ -1194,7 +1309,7 @@ def hypothesis_report(ws):
     return hypotheses.report(
         hypotheses.road_over_climate(group_importance(ws)),
         hypotheses.interactions_pass(interaction_verdict(ws)),
-        hypotheses.country_controls(ws.accidents(), fit_logistic(ws)),
-        hypotheses.nonlinear_over_linear(compared),
-        hypotheses.stack_over_best(compared),
+        hypotheses.country_effect(wald_tests(ws)),
+        hypotheses.nonlinear_over_linear(compared, _pairs(ws)),
+        hypotheses.stack_over_best(compared, _pairs(ws)),
     )
