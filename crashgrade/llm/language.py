@@ -276,8 +276,14 @@ def identify_languages(docs: DataFrame, **columns) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, text_col: str = "text", **columns) -> DataFrame:
     """The documents whose language is recognised: not `und`, and with a score
-    of `least_score` or more. All columns stay, whatever their names."""
+    of `least_score` or more. Null texts and texts without a letter go. Rows go
+    by themselves, whatever their id, and rows that repeat another one stay with
+    it. Where no row has a language to learn from, nothing can be told apart and
+    all documents stay. No rows give no rows. All columns stay, whatever their
+    names."""
     model = fit_languages(docs, text_col=text_col, **columns)
+    if not model.languages:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

@@ -373,7 +373,7 @@ def test_star_shaped_near_copies_equal_brute_force(spark):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "conversations"):
         spark.read.parquet(f"{SMALL}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
