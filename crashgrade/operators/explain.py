@@ -214,7 +214,8 @@ def accumulated_effects(
         {"n_rows": F.coalesce("n_rows", F.lit(0)), "effect": F.coalesce("effect", F.lit(0.0))}
     )
     summed = known.withColumn("_sum", F.sum("effect").over(upto))
-    middle = F.sum(F.col("n_rows") * (F.col("_sum") - F.col("effect") / 2.0)).over(whole) / F.sum("n_rows").over(whole)
+    inner = F.col("n_rows") * (F.col("_sum") - F.col("effect") / 2.0)
+    middle = ratio(F.sum(inner).over(whole), F.sum("n_rows").over(whole))
     total = F.sum("effect").over(whole)
     return summed.select(
         "feature", "bin", "low", "high", "n_rows", "effect", (F.col("_sum") - middle).alias("ale"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crashgrade.functions.arithmetic import ratio
 from crashgrade.operators.reshape import per_column
 
 # Rank error of about 0.04%, in a few ten thousand bytes per column.
@@ -55,7 +56,7 @@ def rank_errors(df: DataFrame, quartiles: DataFrame) -> DataFrame:
         v = F.col(row["feature"]).cast("double")
         n = F.count_if(v.isNotNull() & ~F.isnan(v))
         for name, share in (("q1", 0.25), ("q3", 0.75)):
-            below, up_to = (F.count_if(c) / n for c in (v < row[name], v <= row[name]))
+            below, up_to = (ratio(F.count_if(c), n) for c in (v < row[name], v <= row[name]))
             error = F.greatest(F.lit(0.0), below - share, share - up_to)
             picks.append(error.alias(f"{name}_{i}"))
     wide = df.agg(*picks) if picks else df.sparkSession.createDataFrame([(0,)], "_ int")
