@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,9 @@ LENGTH = 200
 ANCHOR = 48
 LOOK_BACK = 64
 BUCKET_SEGMENTS = 5_000
-MOST_SEGMENTS = 20_000
+MOST_SEGMENTS = 4_000
+# As often a group can be cut by a further anchor that does not touch those before.
+MOST_ANCHORS = 4
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -133,6 +136,37 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[begins], begins - offsets[text[begins]], ends - begins, mix(hashes[anchor])
 
 
+def cut_further(segment: bytes, used: list[int]) -> list[tuple[int, int, int, list[int]]]:
+    """Runs of neighbouring windows of a segment that have the same next anchor:
+    first window, number of windows, fingerprint of the anchor and of its distance
+    from the one before, and the places of all anchors from the run's first byte on.
+
+    The next anchor is the leftmost of smallest hash that does not touch those
+    that are known, at `used`; the first one is the smallest of the segment, as
+    it is that of all its windows. Equal windows have equal next anchors.
+    Where there is none left, the fingerprint is 0."""
+    data = np.frombuffer(segment, dtype=np.uint8)
+    hashes = window_hashes(data, ANCHOR)
+    place = np.arange(len(hashes), dtype=np.uint64)
+    keys = (hashes & ~_PLACE) | place
+    used = used or [int(keys.argmin())]
+    none = np.iinfo(np.uint64).max
+    for p in used:
+        keys[max(0, p - ANCHOR + 1) : p + ANCHOR] = none
+    least = sliding_least(keys, LENGTH - ANCHOR + 1)
+    begins = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    out = []
+    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(least)], strict=True):
+        shifted = [p - a for p in used]
+        if least[a] == none:
+            out.append((a, b - a, 0, shifted))
+            continue
+        at = int(least[a] & _PLACE)
+        far = np.array([hashes[at] + np.uint64(LENGTH + at - used[-1])], dtype=np.uint64)
+        out.append((a, b - a, int(mix(far)[0]), [*shifted, at - a]))
+    return out
+
+
 def repeated_windows(segments: list[bytes]) -> list[np.ndarray]:
     """Per segment, for each window of LENGTH bytes whether it occurs in
     another place of these segments.
@@ -269,9 +303,6 @@ def repeated_spans(
         .where("size > 1 and single > 0")
     )
     groups = stored(groups, "groups")
-    n_tasks = 1 + int(
-        (groups.where(F.col("size") <= most_segments).agg(F.sum("size")).first()[0] or 0) // bucket_segments
-    )
     open_kinds = kinds.join(groups.select("mark", "size"), "mark")
     bytes_of = (
         found.where(F.col("segment").isNotNull())
@@ -280,9 +311,23 @@ def repeated_spans(
         .groupBy("mark", "name", "segment")
         .agg(*[F.first(c).alias(c) for c in ("twice", "t", "start", "size")])
     )
-    small = bytes_of.where(F.col("size") <= most_segments).select(
-        F.pmod(F.xxhash64("mark", F.lit(2)), F.lit(n_tasks)).alias("task"), "twice", "t", "start", "segment"
-    )
+    place = ["mark", "twice", "t", "start", "segment"]
+    parts, large = [], bytes_of.withColumn("used", F.array().cast("array<int>"))
+    for _ in range(MOST_ANCHORS):
+        parts.append(large.where(F.col("size") <= most_segments).select(*place))
+        large = large.where(F.col("size") > most_segments)
+        if large.isEmpty():
+            break
+        large, more = _split(large)
+        spans = spans.unionByName(more)
+    else:
+        parts.append(large.where(F.col("size") <= most_segments).select(*place))
+        large = large.where(F.col("size") > most_segments)
+        if not large.isEmpty():
+            spans = spans.unionByName(_by_window(large))
+    small = stored(reduce(DataFrame.unionByName, parts), "small")
+    n_tasks = 1 + small.count() // bucket_segments
+    small = small.withColumn("task", F.pmod(F.xxhash64("mark", F.lit(2)), F.lit(n_tasks))).drop("mark")
 
     def search(t: pa.Table) -> pa.Table:
         twice, place, start = (t.column(c).to_pylist() for c in ("twice", "t", "start"))
@@ -298,11 +343,55 @@ def repeated_spans(
         types = (pa.binary(), pa.int64(), pa.int64())
         return pa.table({n: pa.array(x, k) for n, x, k in zip(("t", "start", "end"), out, types, strict=True)})
 
-    spans = spans.unionByName(small.groupBy("task").applyInArrow(search, "t binary, start long, end long"))
-    large = bytes_of.where(F.col("size") > most_segments)
-    if not groups.where(F.col("size") > most_segments).isEmpty():
-        spans = spans.unionByName(_by_window(large))
-    return spans
+    return spans.unionByName(small.groupBy("task").applyInArrow(search, "t binary, start long, end long"))
+
+
+def _split(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups cut by their next anchor, and the spans of the pieces that are
+    found at two places whole."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["mark", "name", "twice", "t", "start", "n", "segment", "used"]
+        types = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
+        for batch in batches:
+            rows: list[tuple] = []
+            for r in batch.to_pylist():
+                for first, n, key, used in cut_further(r["segment"], r["used"]):
+                    part = r["segment"][first : first + n + LENGTH - 1]
+                    mark = int(np.array([r["mark"]]).view(np.uint64)[0]) ^ key
+                    mark = int(mix(np.array([mark], dtype=np.uint64)).view(np.int64)[0])
+                    rows.append((mark, hash_of(part), r["twice"], r["t"], r["start"] + first, n, part, used))
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
+
+    cut = stored(
+        large.select("mark", "twice", "t", "start", "segment", "used").mapInArrow(
+            pieces,
+            "mark long, name long, twice boolean, t binary, start long, n long, segment binary, used array<int>",
+        ),
+        "pieces",
+    )
+    kinds = stored(
+        cut.groupBy("mark", "name").agg(
+            (F.max("twice") | _twice(F.xxhash64("t", "start"))).alias("twice"),
+            F.min("t").alias("t"),
+            F.min("start").alias("start"),
+            F.first("segment").alias("segment"),
+            F.first("used").alias("used"),
+        ),
+        "kinds",
+    )
+    # The spans of segments that are found twice are known already.
+    alike = cut.where(~F.col("twice")).select("mark", "name", "t", "start", "n").join(
+        kinds.where("twice").select("mark", "name"), ["mark", "name"]
+    )
+    spans = alike.select("t", "start", (F.col("start") + F.col("n") + (LENGTH - 1)).alias("end"))
+    groups = (
+        kinds.groupBy("mark")
+        .agg(F.count("*").alias("size"), F.count_if(~F.col("twice")).alias("single"))
+        .where("size > 1 and single > 0")
+    )
+    return stored(kinds.join(groups.select("mark", "size"), "mark"), "cut"), spans
 
 
 def hash_of(part: bytes) -> int:
@@ -362,8 +451,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        by linear grouping (`suffix_ranks`) and find which windows of single
        segments occur elsewhere (`repeated_windows`).
     3. A group of more than `most_segments` different segments (a line common
-       to very many texts) does not meet in one task: its windows are counted
-       one by one by digest.
+       to very many texts) does not meet in one task: it is cut by the next
+       anchor of its windows, one that does not touch the first, and so on. Groups
+       that stay large after 4 cuts, whose windows have nearly all bytes in
+       common, are counted window by window by digest.
     4. Texts with copies go whole, if they have 200 bytes.
 
     A null text counts as empty (0 bytes). Texts below 200 bytes lose nothing.

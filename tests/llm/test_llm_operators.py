@@ -72,7 +72,7 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("most", [20_000, 0])
+@pytest.mark.parametrize("most", [20_000, 6, 0])
 def test_suffix_dedup_equals_brute_force(spark, most):
     r = random.Random(5)
     shared = [prose(10 + i, 60) for i in range(4)]
@@ -82,6 +82,32 @@ def test_suffix_dedup_equals_brute_force(spark, most):
     assert got == brute_repeats([(x["doc_id"], (x["text"] or "").encode()) for x in df.collect()])
 
 
+def test_further_anchors_are_the_same_for_equal_windows():
+    """Wherever a window lies, it falls into a piece of the same fingerprints."""
+    r = random.Random(11)
+    shared = bytes(r.choice(b"abcdefg ") for _ in range(260))
+    found = []
+    for _ in range(6):
+        text = bytes(r.choice(b"abcdefg ") for _ in range(r.randrange(0, 150))) + shared + bytes(r.choice(b"abcdefg ") for _ in range(100))
+        keys = {}
+        data = np.frombuffer(text, dtype=np.uint8)
+        for first, n, mark in zip(*(x.tolist() for x in suffix_dedup.anchors(data, np.array([0, len(text)]))[1:]), strict=True):
+            level = [(first, n, (mark,), [])]
+            for _ in range(4):
+                level = [
+                    (a + f, k, (*key, part), used)
+                    for a, m, key, was in level
+                    for f, k, part, used in suffix_dedup.cut_further(text[a : a + m + 199], was)
+                ]
+            for a, m, key, _ in level:
+                for i in range(a, a + m):
+                    keys[i] = key
+        assert sorted(keys) == list(range(len(text) - 199))
+        found.append({text[i : i + 200]: k for i, k in keys.items()})
+    common = set.intersection(*(set(f) for f in found))
+    assert len(common) == 61 and all(len({f[w] for f in found}) == 1 for w in common)
+
+
 def brute_links(rows):
     sets = {}
     for d, t in rows:
