@@ -30,6 +30,8 @@ HEADLINE = [
     "attach_infra",
     "attach_weather",
     "joined_features",
+    "weather_at_place",
+    "source_features",
     "outlier_bounds",
     "remove_outliers",
     "profile",
@@ -49,6 +51,8 @@ HEADLINE = [
     "roc_auc",
     "compare_rules",
     "compare_models",
+    "paired_auc_models",
+    "accumulated_effects",
     "permutation_importance",
     "linear_shap",
     "risk_hotspots",

@@ -15,7 +15,7 @@ RECOMMENDED = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+_LOCAL_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def local_session(cpus: int, app: str = "crashgrade", **extra: str) -> SparkSession:
@@ -38,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees: `spark.checkpoint.dir`.
 
     Unset is accepted only in local mode, where a fresh temporary folder is
-    made once per application.
+    made once per application and removed when the process ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -48,8 +48,8 @@ def shared_folder(spark: SparkSession) -> str:
             )
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_FOLDERS:
-            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="run-")
-        folder = _LOCAL_FOLDERS[app]
+            _LOCAL_FOLDERS[app] = tempfile.TemporaryDirectory(prefix="run-", ignore_cleanup_errors=True)
+        folder = _LOCAL_FOLDERS[app].name
     # Boosting cuts its lineage through the context's checkpoint folder.
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
