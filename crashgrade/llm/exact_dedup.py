@@ -81,8 +81,22 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     null id after all others; of several such rows the first one. A repeated
     id takes no other text along. All empty and null texts are one text. No rows
     give no rows; columns of any name stay as they are."""
-    rows, key = with_rows(docs, "exact")
+    rows, key = _with_places(docs)
     rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(key))
     ranked = rows.select(rank.alias("rank"), F.col(text_col).alias("body"))
     gone = exact_groups(ranked, "rank", "body").where(~F.col("kept")).select(F.col(f"doc_id.{key}").alias(key))
     return rows.join(gone, key, "left_anti").drop(key)
+
+
+def _with_places(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a key per row, and its name. Rows read straight from
+    files are known by their file and place in it, which no rerun changes;
+    others are written once and numbered."""
+    plan = docs._jdf.queryExecution().analyzed() if hasattr(docs, "_jdf") else None
+    key = "_place"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    if plan is None or plan.nodeName().split(" ")[0] != "LogicalRelation" or "_metadata" in docs.columns:
+        return with_rows(docs, "exact")
+    place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+    return docs.withColumn(key, place), key
