@@ -312,22 +312,25 @@ def repeated_spans(
         .agg(*[F.first(c).alias(c) for c in ("twice", "t", "start", "size")])
     )
     place = ["mark", "twice", "t", "start", "segment"]
-    parts, large = [], bytes_of.withColumn("used", F.array().cast("array<int>"))
-    for _ in range(MOST_ANCHORS):
-        parts.append(large.where(F.col("size") <= most_segments).select(*place))
-        large = large.where(F.col("size") > most_segments)
-        if large.isEmpty():
+    # Sizes are read from small tables, the segments themselves once where they are used.
+    fits = F.col("size") <= most_segments
+    parts, level = [], bytes_of.withColumn("used", F.array().cast("array<int>"))
+    sizes, n_small = groups.select("size", F.col("size").alias("n")), 0
+    for cuts in range(MOST_ANCHORS + 1):
+        n_small += sizes.where(fits).agg(F.sum("n")).first()[0] or 0
+        parts.append(level.where(fits).select(*place))
+        if sizes.where(~fits).isEmpty():
             break
-        large, more = _split(large)
+        if cuts == MOST_ANCHORS:
+            spans = spans.unionByName(_by_window(level.where(~fits)))
+            break
+        level, more = _split(level.where(~fits))
         spans = spans.unionByName(more)
-    else:
-        parts.append(large.where(F.col("size") <= most_segments).select(*place))
-        large = large.where(F.col("size") > most_segments)
-        if not large.isEmpty():
-            spans = spans.unionByName(_by_window(large))
-    small = stored(reduce(DataFrame.unionByName, parts), "small")
-    n_tasks = 1 + small.count() // bucket_segments
-    small = small.withColumn("task", F.pmod(F.xxhash64("mark", F.lit(2)), F.lit(n_tasks))).drop("mark")
+        sizes = level.select("size", F.lit(1).alias("n"))
+    n_tasks = 1 + n_small // bucket_segments
+    small = reduce(DataFrame.unionByName, parts).withColumn(
+        "task", F.pmod(F.xxhash64("mark", F.lit(2)), F.lit(n_tasks))
+    ).drop("mark")
 
     def search(t: pa.Table) -> pa.Table:
         twice, place, start = (t.column(c).to_pylist() for c in ("twice", "t", "start"))
