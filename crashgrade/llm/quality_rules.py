@@ -20,9 +20,6 @@ KEEP = 0.5
 LEAST_RIGHT = 0.55
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-# Counted besides, for the votes only.
-_MORE = ("n_lines", "n_letters", "n_upper", "n_loud", "n_plain", "n_bare", "n_stops")
-
 # name, numerator, denominator, which end is good, good from there on, bad from
 # there on. A rule is silent between its two bounds, and where its denominator
 # is 0. None: the rule never says so; a text without capitals need not be good.
