@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crashgrade.llm import conversations, quality_rules, spelling
+from crashgrade.llm import conversations, passages, quality_rules, spelling
 from crashgrade.llm.oracle import CRC_TABLE, crc32_of
 from crashgrade.llm.queries import QUERIES
 
@@ -408,3 +408,25 @@ def test_empty_tables(spark, tmp_path, name):
     for t in ("documents", "conversations"):
         spark.read.parquet(f"{SMALL}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_windows_of_one_function_tie_once():
+    def w(left, right, f):
+        return {"l": left, "r": right, "hl": left, "hr": right, "f": f}
+
+    nested = [w(0, 60, 0), w(5, 55, 0), w(6, 54, 0), w(0, 60, 1)]
+    assert passages.tied_regions(nested) == []
+    assert passages.tied_regions([*nested, w(10, 90, 2)]) == [(0, 90, 0, 90)]
+
+
+def test_dense_windows_equal_brute_force():
+    rng = np.random.default_rng(8)
+    for n, letters in [(0, 3), (45, 3), (46, 2), (90, 9), (120, 40), (150, 10**6)]:
+        x = rng.integers(0, letters, n).astype(np.int32)
+        known = np.isin(x, x[rng.random(n) < 0.45])
+        want = []
+        for i in range(n - 45):
+            common = len(set(x[i : i + 46][known[i : i + 46]].tolist()))
+            if common and 46 * common >= 28 * len(set(x[i : i + 46].tolist())):
+                want.append(i)
+        assert passages.dense_windows(x, known).tolist() == want
