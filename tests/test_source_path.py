@@ -7,12 +7,12 @@ import pytest
 from conftest import MEDIUM
 from pyspark.sql import functions as F
 
-from crashgrade.operators import cells, split
+from crashgrade.operators import cells, integrate, split
 from crashgrade.operators.weather import VARIABLES, lattice_keys, to_utc, weather_at_place
 from crashgrade.plans import artifacts
-from crashgrade.plans.source_path import CASE, labelled, source_workspace
+from crashgrade.plans.source_path import CASE, case_features, labelled, source_workspace
 from crashgrade.plans.workspace import lay_out
-from crashgrade.sources import readers
+from crashgrade.sources import derived, readers
 
 NOON = dt.datetime(2024, 1, 1, 12)
 PLACE = "row_id long, lat double, lon double, utc_ts timestamp_ntz"
@@ -109,6 +109,44 @@ def test_an_empty_cell_falls_back_to_the_coarser_one(spark):
         assert got[3]["road_len"] == pytest.approx(7 / 49) and got[4]["road_len"] == 0.0 == got[5]["n_curves"]
 
 
+def test_small_tables_are_looked_up_without_moving_wide_rows(spark, tmp_path):
+    """One shuffle, of the narrow rows, and no sort; the same rows as by shuffled joins."""
+    places = {"lat": [-23.5, -23.25, -23.4, 39.5, 60.0, None], "lon": [-46.6, -46.5, -46.75, -46.5, -46.5, -46.5]}
+    points = list(zip(places["lat"], places["lon"], strict=True))
+    rows = [
+        (k, k, *points[k % 6], None if k % 11 == 5 else NOON + dt.timedelta(minutes=17 * (k % 9)), ("GRAVE", "LEVE")[k % 2], "br", 0)
+        for k in range(66)
+    ]
+    schema = "row_id long, accident_id long, lat double, lon double, accident_ts timestamp_ntz, severity string, source string, country_flag int"
+    steps = [(i / 4 - 24.0, j / 4 - 47.0) for i in range(4) for j in range(4)]
+    weather = [(NOON + dt.timedelta(hours=h), a, o, a + h, o, 2.0, h + 0.5) for h in (3, 4, 5) for a, o in steps if (h + int(4 * a)) % 5]
+    roads = [(("LARGE", "ECONOMY")[k % 2], "curve", 1.0 + k, 30 + k, 2, *points[k % 4]) for k in range(9)]
+    road = spark.createDataFrame(roads, "road_type string, kind string, length_km double, speed int, lanes long, lat double, lon double")
+    road = integrate.with_cells(road, derived.BASE_EDGE_M, derived.STANDARD_LATS)
+    tables = {
+        "cases": spark.createDataFrame(rows, schema),
+        "lattice": lattice_keys(spark.createDataFrame(weather, readers.LATTICE_SCHEMA)),
+        "cells": cells.cell_variables(cells.cell_sums(road, (9, 10, 11), "ECONOMY")),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    found = {}
+    for limit in (before, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            df = case_features(labelled(read("cases")), read("cells"), read("lattice"))
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            found[limit] = df.columns, sorted(map(repr, df.collect()))
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        if limit == before:
+            assert plan.count("Exchange hashpartitioning") == 1 and "Sort" not in plan
+    assert found[before] == found["-1"] and len(found[before][1]) == 66
+    assert any("temp_c=None" in r for r in found["-1"][1]) and any("road_res=11" in r for r in found["-1"][1])
+
+
 def test_every_row_of_a_file_is_accepted_or_rejected(spark, tmp_path):
     good = "1;2024-01-01 10:00:00;-23.5;-46.5;GRAVE"
     lines = [
