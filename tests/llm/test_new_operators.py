@@ -430,3 +430,40 @@ def test_dense_windows_equal_brute_force():
             if common and 46 * common >= 28 * len(set(x[i : i + 46].tolist())):
                 want.append(i)
         assert passages.dense_windows(x, known).tolist() == want
+
+
+def test_passages_do_not_depend_on_the_order_in_which_texts_meet(spark, monkeypatch):
+    """Overlapping stretches of three texts: a text's own passage goes on behind what the
+    first text it meets covers, and two texts' ties come in different rounds."""
+
+    def prose(seed, n):
+        return [f"w{x}" for x in np.random.default_rng(seed).integers(0, 5000, n)]
+
+    r = np.random.default_rng(2)
+    sources, rows = [prose(200 + k, 400) for k in range(3)], []
+    for k in range(40):
+        source, at, n = sources[r.integers(3)], int(r.integers(0, 300)), int(r.integers(52, 100))
+        before, behind = (prose(seed + k, int(r.integers(20, 60))) for seed in (2500, 52000))
+        rows.append(" ".join([*before, *source[at : at + n], *behind]))
+    df, words = texts_frame(spark, rows), []
+    for first, more in ((10**9, 2), (1, 2)):
+        monkeypatch.setattr(passages, "FIRST_HEADS", first)
+        monkeypatch.setattr(passages, "MORE_HEADS", more)
+        words.append({r["doc_id"]: r["n_words"] for r in passages.near_passages(df).collect()})
+    # A run below 46 places takes in a few words that are not common, which differ by the pair.
+    assert sum(n > 0 for n in words[0].values()) > 30
+    assert [(k, n, words[1][k]) for k, n in words[0].items() if n > words[1][k] + 4] == []
+
+
+def test_few_bare_places_keep_a_window_open():
+    x = np.arange(1, 101, dtype=np.int32) << 6
+    bits = np.zeros(1 << 20, dtype=np.uint64)
+    for slot in x.view(np.uint32) >> np.uint32(6):
+        bits[slot >> 6] |= np.uint64(1) << np.uint64(slot & 63)
+    spans = [{"begin": 0, "end": 90}]
+    # Words 90 to 103 are bare, so are the shingles from 86 on.
+    assert passages.meeting_places(x, bits, spans).tolist() == list(range(41, 55))
+    assert passages.meeting_places(x, bits, [*spans, {"begin": 88, "end": 104}]).tolist() == []
+    # Unknown places count between known ones only.
+    known = np.array([False, True, False, False, True, False])
+    assert passages.bare_places(known, []).tolist() == [False, True, True, True, True, False]
