@@ -467,3 +467,18 @@ def test_few_bare_places_keep_a_window_open():
     # Unknown places count between known ones only.
     known = np.array([False, True, False, False, True, False])
     assert passages.bare_places(known, []).tolist() == [False, True, True, True, True, False]
+
+
+def test_only_texts_with_a_value_in_common_are_dealt_again(spark, monkeypatch):
+    """The shingles of all others stay where they are after the first round."""
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    every, seen = passages._open_windows, []
+
+    def counted(found, *args):
+        seen.append(found.count())
+        return every(found, *args)
+
+    monkeypatch.setattr(passages, "_open_windows", counted)
+    got = passages.near_passages(docs)
+    assert seen[0] > 300 and seen[1] < 0.9 * seen[0]
+    assert got.count() == docs.count()
